@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import secret_scan
+from tidewell.llm import bpe_automaton, packing, secret_scan, token_files
 from tidewell.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), secret_scan.train(secret_scan.default_samples(spark)))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {"op1_secret_scan": op1_secret_scan, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op10_bpe_automaton": op10_bpe_automaton}
 
 
 def oracle_sql() -> dict[str, str]:
