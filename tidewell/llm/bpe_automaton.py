@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import map_arrow
 from tidewell.llm.tokenise import Memo, Splitter
 
 _LATE = 1 << 60
@@ -249,9 +250,9 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids array<long>, decoded string) of each document."""
-    return _rows(docs, id_column, text_column).mapInArrow(_ids(tokenizer_path), "doc_id long, ids array<long>, decoded string")
+    return map_arrow(_rows(docs, id_column, text_column), _ids(tokenizer_path), "doc_id long, ids array<long>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Number of tokens and digests of the ids and of the decoded text of each document."""
-    return _rows(docs, id_column, text_column).mapInArrow(_digest(tokenizer_path), _OUT)
+    return map_arrow(_rows(docs, id_column, text_column), _digest(tokenizer_path), _OUT)

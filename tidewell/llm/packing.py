@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialise
+from tidewell.llm.common import map_arrow, materialise
 from tidewell.llm.tokenise import encoder
 
 SEQUENCE_TOKENS = 2048
@@ -75,8 +75,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, en
     partition of the scan, which Spark's scheduler holds as well.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    stored = materialise(rows.mapInArrow(_encode(tokenizer_path, end_id), _ENCODED), "packed-ids")
+    stored = materialise(map_arrow(rows, _encode(tokenizer_path, end_id), _ENCODED), "packed-ids")
     offsets, at = {}, 0
-    for part, total in sorted((r["part"], r["total"]) for r in stored.groupBy("part").agg(F.sum("n").alias("total")).toLocalIterator()):
+    for part, total in sorted((r["part"], r["total"]) for r in stored.groupBy("part").agg(F.sum("n").alias("total")).collect()):
         offsets[part], at = at, at + total
-    return stored.mapInArrow(_cut(offsets, length), PIECES)
+    return map_arrow(stored, _cut(offsets, length), PIECES)

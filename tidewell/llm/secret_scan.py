@@ -92,7 +92,7 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     chars = F.filter(F.split(F.coalesce("sample", F.lit("")), ""), lambda c: F.lit(ALPHABET).contains(c) & (c != ""))
     pairs = F.when(F.size("c") > 1, F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
     counts = samples.where(F.col("is_random").isNotNull()).select("is_random", chars.alias("c")).select("is_random", F.explode(pairs).alias("p")).groupBy("is_random", "p").count()
-    seen = {(r["is_random"], r["p"]): r["count"] for r in counts.toLocalIterator()}
+    seen = {(r["is_random"], r["p"]): r["count"] for r in counts.collect()}
     table = []
     for a in ALPHABET:
         totals = {k: sum(seen.get((k, a + b), 0) for b in ALPHABET) + smoothing * n for k in (True, False)}

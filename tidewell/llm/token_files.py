@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import filesystem, scratch
+from tidewell.llm.common import filesystem, map_arrow, scratch
 from tidewell.llm.tokenise import encoder
 
 END_ID = 2
@@ -167,7 +167,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     """Write shards in ascending order of the id; returns the list of shards in that order, with the ids before each."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    entries = sorted((r.asDict() for r in ordered.mapInArrow(_write(tokenizer_path, end_id, folder, shard_ids), _ENTRY).toLocalIterator()), key=lambda e: (e["part"], e["seq"]))
+    entries = sorted((r.asDict() for r in map_arrow(ordered, _write(tokenizer_path, end_id, folder, shard_ids), _ENTRY).collect()), key=lambda e: (e["part"], e["seq"]))
     at = 0
     for e in entries:
         e["before"] = at
@@ -194,7 +194,7 @@ def read(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame:
     """One row for each document of the shards: its place, its length and the checksum of its ids."""
     schema = "path string, before long"
     shards = spark.createDataFrame([(e["path"], e["before"]) for e in entries], schema)
-    return shards.repartition(max(1, len(entries))).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards.repartition(max(1, len(entries))), _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
