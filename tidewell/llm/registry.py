@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe_automaton, packing, secret_scan, token_files
+from tidewell.llm import bpe_automaton, language_id, media_chunks, packing, quality, secret_scan, token_files
 from tidewell.llm.common import documents
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), secret_scan.train(secret_scan.default_samples(spark)))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -29,12 +33,23 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.round_trip(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_secret_scan, op3_quality, op5_packing, op7_token_files, op8_media_chunks, op9_language_id, op10_bpe_automaton]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op10_bpe_automaton": op10_bpe_automaton}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
