@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe_automaton, language_id, media_chunks, near_dedup, packing, quality, secret_scan, token_files, topk_search
+from tidewell.llm import bpe_automaton, language_id, media_chunks, near_dedup, packing, quality, secret_scan, suffix_dedup, token_files, topk_search
 from tidewell.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir), secret_scan.train(secret_scan.default_samples(spark)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,7 +59,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_secret_scan, op3_quality, op4_topk_search, op5_packing, op6_near_dedup, op7_token_files, op8_media_chunks, op9_language_id, op10_bpe_automaton]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_secret_scan, op2_suffix_dedup, op3_quality, op4_topk_search, op5_packing, op6_near_dedup, op7_token_files, op8_media_chunks, op9_language_id, op10_bpe_automaton]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
