@@ -1,2 +1,60 @@
-"""Placeholder until the stages exist."""
-STAGES: list = []
+"""The training-data pipeline over documents: five stages, each by one operator.
+
+language: documents whose language is not recognised go. near: one document of
+each near-duplicate group stays. repeats: passages of 200 bytes that occur twice
+are cut. secrets: secrets are replaced by a mark. packing: the rest becomes
+sequences of 2048 tokens.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm import language_id, near_dedup, packing, secret_scan, suffix_dedup
+from tidewell.llm.common import documents, shared_dir
+from tidewell.llm.tokenise import public_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject."""
+    return language_id.accepted(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return near_dedup.keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat."""
+    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each secret replaced by a mark."""
+    clean = secret_scan.redact(docs, secret_scan.train(secret_scan.default_samples(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pack(docs, public_file("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near", near), ("repeats", repeats), ("secrets", secrets), ("packing", pack)]
+
+#: Models, minimum hashes and a tokenizer file have no SQL form; the stages are tested against plain versions instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    folder = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex[:12]}"
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(path)
+    return docs

@@ -263,3 +263,23 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(Identifier(texts) if texts else None)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), is_held_out(id_column).alias("held_out"), F.col(text_column).cast("string").alias("text"))
     return map_arrow(rows, _predict(shared), _OUT)
+
+
+def _accept(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier, table = shared.value, symbol_table()
+        for batch in slices(batches, "__text", most=1 << 20):
+            keep = ~identifier.predict(batch.column("__text").to_pylist(), table)[3]
+            yield batch.filter(pa.array(keep)).select([c for c in batch.schema.names if c != "__text"])
+
+    return run
+
+
+def accepted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The documents that are not rejected, with all their columns; with nothing to learn from, all."""
+    texts = sample(docs, id_column=id_column, text_column=text_column, lang_column=lang_column)
+    if not texts:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(Identifier(texts))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(docs.withColumn("__text", F.col(text_column).cast("string")), _accept(shared), kinds)

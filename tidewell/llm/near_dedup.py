@@ -243,12 +243,27 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "a binary, b binary, in_order double, by_set double")
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_class) of each document."""
+def _roots(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, tid, root) of each document: root is the same for all texts of a class."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), text_id(text_column).alias("tid"))
     sketched = materialise(map_arrow(rows.select("doc_id", "tid", "text"), _sketch, "doc_id long, tid binary, sketches array<long>"), "sketches")
     nodes = sketched.groupBy("tid").agg(F.first("sketches").alias("sketches"))
     roots = contract(links(rows.select("tid", "text"), nodes))
-    named = materialise(sketched.select("doc_id", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("doc_id", F.coalesce("root", "tid").alias("root")), "roots")
+    return materialise(sketched.select("doc_id", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root")), "roots")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The document of least id of each class, with all its columns; null ids come last, repeated rows count once."""
+    named = _roots(docs, id_column, text_column)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("tid").alias("tid"))
+    kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("__id"), F.col("lead.tid").alias("__tid"))
+    rows = docs.withColumn("__tid", text_id(text_column)).withColumn("__id", F.col(id_column).cast("long"))
+    on = rows["__tid"].eqNullSafe(kept["__tid"]) & rows["__id"].eqNullSafe(kept["__id"])
+    return rows.join(kept, on, "left_semi").dropDuplicates(["__tid", "__id"]).select(*docs.columns)
+
+
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_class) of each document."""
+    named = _roots(docs, id_column, text_column)
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
     return named.join(least, "root").select("doc_id", "class_id", "n_class")

@@ -7,15 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewell.llm import bpe_automaton, language_id, media_chunks, near_dedup, packing, quality, secret_scan, suffix_dedup, token_files, topk_search
 from tidewell.llm.common import documents
-
-
-def tokenizer(name: str) -> str:
-    """The place of a public tokenizer file."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+from tidewell.llm.tokenise import public_file
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +31,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), public_file("word_bpe_49k.json"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +39,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return token_files.round_trip(documents(spark, sf_dir), public_file("byte_bpe_50k.json"))
 
 
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +51,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_automaton.digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return bpe_automaton.digests(documents(spark, sf_dir), public_file("word_bpe_49k.json"))
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_secret_scan, op2_suffix_dedup, op3_quality, op4_topk_search, op5_packing, op6_near_dedup, op7_token_files, op8_media_chunks, op9_language_id, op10_bpe_automaton]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 OP4_SQL = """

@@ -33,6 +33,13 @@ _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MEMO_PIECES = 400_000
 
 
+def public_file(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class Memo(dict):
     """piece -> what `make` gives for it; at most MEMO_PIECES pieces."""
 
