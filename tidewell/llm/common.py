@@ -26,8 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session keeps Spark's default of 64 MB:
+#: a text column's batch stands in memory four times, in either process as it is made and as it is read.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on the executors, once for each application."""
+    """Make this package importable on the executors, once for each application, and keep Arrow batches small."""
+    if spark.conf.get(_BATCH_KEY).removesuffix("b") == str(64 << 20):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]

@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import map_arrow, materialise, slices, utf8
 
 LENGTH = 200
-PIECE = 16
+PIECE = 64
 #: Segments of one anchor above which it is split; also a bound of a group in a task.
 HOT = 512
 #: An anchor goes past the first count where it has this share of all segments, so there are few.
 HOT_SHARE = 20_000
 #: Segments that a task counts together, bytes of a shard, and bytes of a merged block.
-COUNTED, SHARD, BLOCK = 400_000, 256 << 10, 1536 << 10
+COUNTED, SHARD, BLOCK = 100_000, 32 << 10, 128 << 10
 #: Bytes of text that are handled at once; longer texts are cut with an overlap.
-STRETCH = 2 << 20
+STRETCH = 512 << 10
 _PLACE = np.uint64((1 << 24) - 1)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEGMENTS = "tid binary, start long, len int, ahead int, anchor long, segment long, twice boolean"
@@ -216,7 +216,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tid, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("tid", "packed", "wanted")), strict=True):
             text = expand.decompress(packed)
             out.extend((w["anchor"], tid, w["start"], w["ahead"], w["twice"], text[w["start"] : w["start"] + w["len"]]) for w in wanted)
-            if len(out) > 50_000:
+            if len(out) > 10_000:
                 yield _bytes_batch(out)
                 out = []
         if out:
@@ -253,7 +253,7 @@ def _halves(size: int):
                     core = data[ahead - cell * size : ahead + LENGTH - (cell * size + size - 1)]
                     name = xxhash.xxh64_intdigest(core, (key ^ cell * 0x9E3779B97F4A7C15) % (1 << 64))
                     out.append((name - (1 << 64) if name >> 63 else name, tid, start + ahead - high, high, twice, part))
-                if len(out) > 20_000:
+                if len(out) > 10_000:
                     yield _bytes_batch(out)
                     out = []
             if out:
@@ -277,18 +277,30 @@ class Transform:
         key = np.zeros(n, np.int64)
         for k in range(depth):
             key = key << bits | padded[k : k + n]
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
+        order = np.argsort(key)
         k = key[order]
-        rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-        while rank[order[-1]] < n - 1:
+        # A row's rank is the place of the first row that is equal so far; only rows of such groups are sorted on.
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = np.empty(n, np.int64)
+        rank[order] = head
+        while True:
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            rows = np.flatnonzero(tied)
+            if not len(rows):
+                break
             # Terminators differ, so a string's end settles the order before another string could matter.
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - depth] = rank[depth:] + 1
-            key = rank * (n + 1) + nxt
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+            own = order[rows]
+            nxt = np.where(own + depth < n, rank[np.minimum(own + depth, n - 1)], 0)
+            key = head[rows] * n + nxt
+            by = np.argsort(key)
+            own, k = own[by], key[by]
+            order[rows] = own
+            fresh = np.concatenate(([True], k[1:] != k[:-1]))
+            new[rows] = fresh
+            head[rows] = np.maximum.accumulate(np.where(fresh, rows, 0))
+            rank[own] = head[rows]
             depth *= 2
         self.order = order
         self.symbols = np.where(text < m, 0, text - m + 1).astype(np.int16)
@@ -442,9 +454,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         several = leads.groupBy("key").count().where("count > 1").select("key")
         compared = materialise(leads.join(several, "key", "left_semi"), "halves")
         size //= 2
-    for part in ready:
-        near = part.select("key", "tid", "start", "twice", "bytes").repartition("key").sortWithinPartitions("key")
-        out.append(map_arrow(near, _merge, "tid binary, start long, len int"))
+    columns = ["key", "tid", "start", "twice", "bytes"]
+    parts = ready[0].select(*columns)
+    for part in ready[1:]:
+        parts = parts.unionAll(part.select(*columns))
+    near = parts.repartition("key").sortWithinPartitions("key")
+    out.append(map_arrow(near, _merge, "tid binary, start long, len int"))
     spans = out[0]
     for x in out[1:]:
         spans = spans.unionAll(x)
