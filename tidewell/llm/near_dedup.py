@@ -8,8 +8,7 @@ so that two texts agree on a sketch where they are alike in content and in order
 Equal texts are one node from the start. In each bucket (texts of one sketch
 value) every text is compared with the bucket's hub, the text that shares most
 buckets, and never with all others; texts that do not match go on to narrower
-buckets, of two, three, ... sketch values, with a new hub in each, until no bucket
-of two is left. A candidate pair counts as a link where a banded alignment of the
+buckets, of two, four, ... sketch values up to all, with a new hub in each. A candidate pair counts as a link where a banded alignment of the
 shingle sequences gives at least 0.8 of shared shingles over all; where blocks
 were moved, the same share of the sets of shingles is checked after it. Links are
 joined to classes by alternating star contraction, in Spark throughout.
@@ -184,20 +183,19 @@ def text_id(column: str):
 def contract(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (a, b): root is the least node.
 
-    Large-star and small-star steps by turns (each a minimum of a node's
-    neighbours and one join), each written to the shared folder, until the edges
-    are the star of each component.
+    Large-star and small-star steps by turns, each a minimum of a node's
+    neighbours and one join; a round is written to the shared folder. It ends when
+    a round changes no edge: then the edges are the star of each component.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before = None
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        both = edges.select("u", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "small-star")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = materialise(small.where("u <> v").distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -210,37 +208,47 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     docs: (tid, text) rows; nodes: one (tid, sketches) row for each text.
     """
     spark = docs.sparkSession
-    rows = nodes.where(F.col("sketches").isNotNull()).select("tid", "sketches", F.posexplode("sketches").alias("i", "bucket"))
-    found: DataFrame | None = None
+    rows = nodes.where(F.col("sketches").isNotNull()).select("tid", F.posexplode("sketches").alias("i", "bucket"), "sketches")
+    found: list[DataFrame] = []
+    tried: list[DataFrame] = []
     texts: DataFrame | None = None
-    tried: DataFrame | None = None
-    for depth in range(SKETCHES):
-        if depth:
-            beside = F.element_at("sketches", F.pmod(F.col("i") + depth, F.lit(SKETCHES)) + 1)
-            rows = rows.withColumn("bucket", F.xxhash64("bucket", beside))
+    depth = 1
+    while depth <= SKETCHES:
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = materialise(rows.join(shared, "bucket").select("tid", "sketches", "i", "bucket", "n"), "buckets")
-        if not rows.take(1):
+        rows = rows.join(shared, "bucket")
+        if depth == 1:
+            rows = materialise(rows, "buckets")
+            weight = rows.groupBy("tid").agg(F.sum("n").alias("w"))
+            rows = rows.join(weight, "tid").drop("n")
+            texts = docs.join(weight.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+            texts = materialise(texts, "texts")
+        else:
+            rows = materialise(rows.drop("n"), "buckets")
+        hubs = rows.groupBy("bucket").agg(F.max(F.struct("w", "tid")).alias("hub")).select("bucket", F.col("hub.tid").alias("hub"))
+        met = rows.join(hubs, "bucket").where("tid <> hub").withColumn("a", F.greatest("tid", "hub")).withColumn("b", F.least("tid", "hub"))
+        met = materialise(met.select("tid", "i", "bucket", "sketches", "w", "a", "b"), "met")
+        if met.isEmpty():
             break
-        weight = rows.groupBy("tid").agg(F.sum("n").alias("w"))
-        hubs = rows.select("tid", "bucket").join(weight, "tid").groupBy("bucket").agg(F.max(F.struct("w", "tid")).alias("hub")).select("bucket", F.col("hub.tid").alias("hub"))
-        met = rows.join(hubs, "bucket").where("tid <> hub").select("tid", "sketches", "i", "bucket", "hub")
-        met = materialise(met.withColumn("a", F.greatest("tid", "hub")).withColumn("b", F.least("tid", "hub")), "met")
         pairs = met.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if texts is None:
-            wanted = rows.select("tid").distinct()
-            texts = materialise(docs.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
         left = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
         checked = map_arrow(pairs.join(left, "a").join(right, "b"), _check, "a binary, b binary, in_order double, by_set double")
         checked = materialise(checked, "checked")
-        tried = checked.select("a", "b") if tried is None else tried.unionAll(checked.select("a", "b"))
-        good = checked.where((F.col("in_order") >= SIMILARITY) | (F.col("by_set") >= SIMILARITY))
-        found = good if found is None else found.unionAll(good)
-        rows = met.join(found.select("a", "b"), ["a", "b"], "left_anti").select("tid", "sketches", "i", "bucket")
-    return found if found is not None else spark.createDataFrame([], "a binary, b binary, in_order double, by_set double")
+        tried.append(checked.select("a", "b"))
+        found.append(checked.where((F.col("in_order") >= SIMILARITY) | (F.col("by_set") >= SIMILARITY)))
+        rows = met
+        for good in found:
+            rows = rows.join(good.select("a", "b"), ["a", "b"], "left_anti")
+        # The next buckets take as many sketch values again, beside those that made this one.
+        beside = [F.element_at("sketches", F.pmod(F.col("i") + k, F.lit(SKETCHES)) + 1) for k in range(depth, min(2 * depth, SKETCHES))]
+        rows = rows.select("tid", "i", F.xxhash64("bucket", *beside).alias("bucket"), "sketches", "w") if beside else rows
+        depth *= 2
+    none = spark.createDataFrame([], "a binary, b binary, in_order double, by_set double")
+    for x in found:
+        none = none.unionAll(x)
+    return none
 
 
 def _roots(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
