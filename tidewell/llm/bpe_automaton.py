@@ -30,19 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_arrow
-from tidewell.llm.tokenise import Memo, Splitter
+from tidewell.llm.tokenise import Memo, Splitter, byte_symbols
 
 _LATE = 1 << 60
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class Automaton:
     """The automaton of a byte-level merge list.
 

@@ -13,9 +13,10 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
 import unicodedata
+from array import array
 
-import numpy as np
 
 #: Characters for which this module's own cutting is the library's: no control
 #: characters, nothing that normalisation or other Unicode versions change.
@@ -29,7 +30,7 @@ _PIECES = re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS
 _WORDS = re.compile(f"{_SHORT}|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Pieces that a worker remembers; the memo starts anew beyond it.
+#: Pieces that a worker remembers, in two generations of half as many.
 MEMO_PIECES = 400_000
 
 
@@ -41,16 +42,24 @@ def public_file(name: str) -> str:
 
 
 class Memo(dict):
-    """piece -> what `make` gives for it; at most MEMO_PIECES pieces."""
+    """piece -> what `make` gives for it.
+
+    A full generation becomes the old one; pieces met again move on from it, so
+    frequent pieces stay.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece: str):
-        if len(self) >= MEMO_PIECES:
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
+        if len(self) >= MEMO_PIECES // 2:
+            self.old = dict(self)
             self.clear()
-        self[piece] = out = self.make(piece)
+        self[piece] = out
         return out
 
 
@@ -95,23 +104,38 @@ class Splitter:
         return _PIECES.findall(part) if self.kind == "pieces" else _WORDS.findall(part.lower())
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, add_special_tokens=False."""
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise OSError("ids are written as this machine's unsigned 32-bit integers, which must be little-endian")
         self.split = Splitter(path)
         self.vocabulary = self.split.library.get_vocab_size(with_added_tokens=True)
-        self.memo = Memo(self._whole)
+        self.model = self.split.library.model
+        self.letters = dict(enumerate(byte_symbols()))
+        self.memo = Memo(self._piece)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.split.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.split.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece is cut already, so the library's model alone gives its ids, from the characters that stand for its bytes."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         get = self.memo.__getitem__
         out = []
         for part in self.split.parts(text):
             if part in self.split.special_ids:
-                out.append(np.array([self.split.special_ids[part]], "<u4").tobytes())
+                out.append(array("I", [self.split.special_ids[part]]).tobytes())
                 continue
             pieces = self.split.pieces(part)
             out.append(self._whole(part) if pieces is None else b"".join(map(get, pieces)))
