@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import is_held_out, map_arrow, slices
+from tidewell.llm.common import is_held_out, map_arrow, ship, slices
 
 #: Documents of each language that are read for training, and the share of them kept for the bound.
 TRAIN_DOCS = 500
@@ -265,21 +265,22 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return map_arrow(rows, _predict(shared), _OUT)
 
 
-def _accept(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier, table = shared.value, symbol_table()
-        for batch in slices(batches, "__text", most=1 << 20):
-            keep = ~identifier.predict(batch.column("__text").to_pylist(), table)[3]
-            yield batch.filter(pa.array(keep)).select([c for c in batch.schema.names if c != "__text"])
-
-    return run
-
-
 def accepted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The documents that are not rejected, with all their columns; with nothing to learn from, all."""
+    """The documents that are not rejected, with all their columns; with nothing to learn from, all.
+
+    Python sees the texts alone and returns a flag, so rows stay in the JVM.
+    """
     texts = sample(docs, id_column=id_column, text_column=text_column, lang_column=lang_column)
     if not texts:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(Identifier(texts))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs.withColumn("__text", F.col(text_column).cast("string")), _accept(shared), kinds)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(Identifier(texts))
+
+    def keep(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        identifier, table = shared.value, symbol_table()
+        for column in columns:
+            parts = slices([pa.RecordBatch.from_arrays([column], ["text"])], most=512 << 10)
+            flags = [~identifier.predict(part.column("text").to_pylist(), table)[3] for part in parts]
+            yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
+
+    flag = F.arrow_udf(keep, "boolean", F.ArrowUDFType.SCALAR_ITER)
+    return docs.where(flag(F.col(text_column).cast("string")))
