@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +34,18 @@ def reflect(place: Column, size: int) -> Column:
 def ema_with_reset(df: DataFrame, by: list[str], clock: str, value: str, rate: float) -> DataFrame:
     """Exponential mean of each key in clock order, begun anew where the clock does not increase.
 
-    The fold is not commutative, so each key is one ordered group; its rows arrive
-    in Arrow batches and one pass keeps a single number.
+    The fold is not commutative, so each key is one ordered group, as it is for a
+    recording's sensor log.
     """
-    schema = f"{', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in by)}, {clock} long, ema double"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, mean = None, 0.0
-        for rows in batches:
-            out = []
-            for t, v in zip(rows[clock], rows[value], strict=True):
-                mean = v if last is None or t <= last else rate * mean + (1 - rate) * v
-                last = t
-                out.append(mean)
-            yield pd.DataFrame({**{c: rows[c] for c in by}, clock: rows[clock], "ema": out})
-
-    ordered = df.select(*by, clock, value).orderBy(*by, clock, value)
-    return ordered.groupBy(*by).applyInPandas(lambda key, rows: pd.concat(fold(key, iter([rows.sort_values([clock, value])]))), schema)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([clock, value])
+        out, last, mean = [], None, 0.0
+        for t, v in zip(rows[clock], rows[value], strict=True):
+            mean = v if last is None or t <= last else rate * mean + (1 - rate) * v
+            last = t
+            out.append(mean)
+        return rows[[*by, clock]].assign(ema=out)
+
+    return df.select(*by, clock, value).groupBy(*by).applyInPandas(fold, f"{kinds}, {clock} long, ema double")
