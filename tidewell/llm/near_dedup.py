@@ -264,10 +264,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The document of least id of each class, with all its columns; null ids come last, repeated rows count once."""
     named = _roots(docs, id_column, text_column)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("tid").alias("tid"))
-    kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("__id"), F.col("lead.tid").alias("__tid"))
-    rows = docs.withColumn("__tid", text_id(text_column)).withColumn("__id", F.col(id_column).cast("long"))
-    on = rows["__tid"].eqNullSafe(kept["__tid"]) & rows["__id"].eqNullSafe(kept["__id"])
-    return rows.join(kept, on, "left_semi").dropDuplicates(["__tid", "__id"]).select(*docs.columns)
+    kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("kept_id"), F.col("lead.tid").alias("kept_tid"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), text_id(text_column).alias("tid"), F.col(id_column).cast("long").alias("doc_id"))
+    on = F.col("tid").eqNullSafe(F.col("kept_tid")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, on, "left_semi").dropDuplicates(["tid", "doc_id"]).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -199,9 +199,9 @@ def redact(docs: DataFrame, table: Sequence[int], mark: str = "[SECRET]", id_col
     All columns stay, in their order. Rows are matched by number over a table
     that is read twice, so docs must be a stored table.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = gathered(spans(docs, table, id_column, text_column)).where(F.size("found") > 0).select(F.col("row").alias("__row"), "found")
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    found = gathered(spans(docs, table, id_column, text_column)).where(F.size("found") > 0).select("row", "found")
+    text = F.coalesce(F.col(f"doc.`{text_column}`").cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -209,5 +209,6 @@ def redact(docs: DataFrame, table: Sequence[int], mark: str = "[SECRET]", id_col
         return F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     new = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    out = rows.join(found, "__row", "left").withColumn(text_column, F.when(F.col("found").isNull(), F.col(text_column)).otherwise(new))
-    return out.select(*docs.columns)
+    out = rows.join(found, "row", "left").withColumn("new", F.when(F.col("found").isNotNull(), new))
+    same = lambda c: F.col(f"doc.`{c}`")
+    return out.select(*[F.coalesce("new", same(c)).alias(c) if c == text_column else same(c).alias(c) for c in docs.columns])
