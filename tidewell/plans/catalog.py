@@ -371,6 +371,80 @@ def stationary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("event_id", "user_id", F.count("*").over(hour).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).over(hour).alias("total"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS d FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id < 9),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, vec_id) AS k FROM s) SELECT query_id, bool_or(vec_id = 3) AS has_reference, max(CASE WHEN k = 1 THEN vec_id END) AS nearest FROM r WHERE k <= 5 GROUP BY 1""")
+def top5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the reference record is among the five nearest of nine, and which is nearest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("e"))
+    records = rows.where("vec_id < 9").select(F.col("vec_id").alias("c"), F.col("e").alias("f"))  # nine rows
+    dot = F.aggregate(F.zip_with("e", "f", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    scored = rows.where("vec_id % 50 = 0").join(F.broadcast(records)).select(F.col("vec_id").alias("query_id"), F.struct((-dot).alias("d"), "c").alias("s"))
+    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 5).alias("top"))
+    return best.select("query_id", F.exists("top", lambda x: x["c"] == 3).alias("has_reference"), F.element_at("top", 1)["c"].alias("nearest"))
+
+
+@query("WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, (CAST(l_partkey % 256 AS DOUBLE) - 16) * (255 / CAST(219 AS DOUBLE)) AS y, (CAST(l_orderkey % 256 AS DOUBLE) - 128) * (255 / CAST(224 AS DOUBLE)) AS u, (CAST(l_suppkey % 256 AS DOUBLE) - 128) * (255 / CAST(224 AS DOUBLE)) AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(y + 2 * (1 - 0.2126) * v, 0), 255) + 1e-9, 4) AS r, round(least(greatest(y - 2 * 0.0722 * (1 - 0.0722) / 0.7152 * u - 2 * 0.2126 * (1 - 0.2126) / 0.7152 * v, 0), 255) + 1e-9, 4) AS g, round(least(greatest(y + 2 * (1 - 0.0722) * u, 0), 255) + 1e-9, 4) AS b FROM p")
+def yuv_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte = lambda c: (F.col(c) % 256).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", optics.yuv_to_rgb(byte("l_partkey"), byte("l_orderkey"), byte("l_suppkey")).alias("c"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(F.col(f"c.{x}") + 1e-9, 4).alias(x) for x in "rgb"])  # exact halves fall one way
+
+
+@query(f"WITH {_TILES}, m AS (SELECT vec_id, x, CAST(sum(abs(v)) AS BIGINT) AS s, count(*) AS n FROM tiles GROUP BY 1, 2) SELECT t.vec_id, t.x, count(*) AS kept, CAST(sum(t.v) AS BIGINT) AS total FROM tiles t JOIN m USING (vec_id, x) WHERE abs(t.v) * m.n < m.s + 30 * m.n GROUP BY 1, 2")
+def two_pass_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each column over the pixels within 30 of its mean magnitude; the first pass is a window over the same rows."""
+    column = Window.partitionBy("vec_id", "x")
+    rows = tiles(spark, sf_dir).withColumn("s", F.sum(F.abs("v")).over(column)).withColumn("n", F.count("*").over(column))
+    return rows.where("abs(v) * n < s + 30 * n").groupBy("vec_id", "x").agg(F.count("*").alias("kept"), F.sum("v").alias("total"))
+
+
+@query(f"WITH {_TILES}, h AS (SELECT vec_id, v, count(*) AS n FROM tiles GROUP BY 1, 2), c AS (SELECT vec_id, v, sum(n) OVER (PARTITION BY vec_id ORDER BY v DESC) AS top FROM h), b AS (SELECT vec_id, max(v) AS threshold FROM c WHERE top >= 4 GROUP BY 1), a AS (SELECT vec_id, y * 8 + x AS place, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, y * 8 + x) AS k FROM tiles) SELECT b.vec_id, b.threshold, a.place FROM b JOIN a ON a.vec_id = b.vec_id AND a.k = 1")
+def hist_top_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value that the four brightest pixels reach, from a histogram counted from above, and the first brightest place."""
+    pixels = tiles(spark, sf_dir).withColumn("place", F.col("y") * 8 + F.col("x"))
+    above = F.sum("n").over(Window.partitionBy("vec_id").orderBy(F.col("v").desc()))
+    bins = pixels.groupBy("vec_id", "v").agg(F.count("*").alias("n"), F.min("place").alias("place")).withColumn("top", above)
+    best = F.max(F.struct("v", (-F.col("place")).alias("p")))
+    return bins.groupBy("vec_id").agg(F.max(F.when(F.col("top") >= 4, F.col("v"))).alias("threshold"), best.alias("b")).select("vec_id", "threshold", (-F.col("b.p")).alias("place"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(l_partkey % 256) AS BIGINT) AS r, CAST(sum(l_orderkey % 256) AS BIGINT) AS g, CAST(sum(l_suppkey % 256) AS BIGINT) AS b FROM lineitem WHERE l_linenumber % 4 = 0")
+def channel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte = lambda c: F.sum(F.col(c) % 256)
+    return table(spark, sf_dir, "lineitem").where("l_linenumber % 4 = 0").agg(F.count("*").alias("n"), byte("l_partkey").alias("r"), byte("l_orderkey").alias("g"), byte("l_suppkey").alias("b"))
+
+
+@query(f"WITH {_TILES}, p AS (SELECT vec_id, x + dx AS x, y + dy AS y, v, (2 - abs(dx)) * (2 - abs(dy)) AS w FROM tiles, (SELECT a - 1 AS dx FROM range(3) r(a)), (SELECT b - 1 AS dy FROM range(3) r(b)) WHERE x % 2 = 0 AND y % 2 = 0) SELECT vec_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(sum(w * v) AS BIGINT) AS votes, CAST(sum(w) AS BIGINT) AS weight FROM p WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 GROUP BY 1, 2, 3")
+def patch_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second pixel spreads its value to its neighbours with tent weights."""
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit((2 - abs(a)) * (2 - abs(b))).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    rows = tiles(spark, sf_dir).where("x % 2 = 0 AND y % 2 = 0").withColumn("d", F.explode(steps))
+    rows = rows.select("vec_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v", F.col("d.w").alias("w"))
+    return rows.where("x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7").groupBy("vec_id", "x", "y").agg(F.sum(F.col("w") * F.col("v")).alias("votes"), F.sum(F.col("w").cast("long")).alias("weight"))
+
+
+@query(f"WITH {_LOG}, a AS (SELECT user_id, t, max(value) AS v FROM log WHERE event_id % 3 <> 0 GROUP BY 1, 2), b AS (SELECT user_id, t, max(value) AS v FROM log WHERE event_id % 3 <> 1 GROUP BY 1, 2) SELECT b.user_id, count(*) AS n, count(*) FILTER (WHERE a.t IS NULL) AS missing, count(*) FILTER (WHERE a.v <> b.v) AS differ FROM b LEFT JOIN a ON a.user_id = b.user_id AND a.t = b.t GROUP BY 1")
+def overlap_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a second log held against the first: missing there, or of another value; one aggregate, no join."""
+    rows = log(spark, sf_dir)
+    in_a, in_b = F.col("event_id") % 3 != 0, F.col("event_id") % 3 != 1
+    both = rows.groupBy("user_id", "t").agg(F.max(F.when(in_a, F.col("value"))).alias("a"), F.max(F.when(in_b, F.col("value"))).alias("b"))
+    return both.where("b IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("a").isNull(), 1)).alias("missing"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("differ"))
+
+
+@query("SELECT p_brand, count(DISTINCT lower(p_type)) AS n_names, CASE WHEN count(DISTINCT lower(p_type)) > 1 THEN 'ambiguous' ELSE min(lower(p_type)) END AS name FROM part GROUP BY 1")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.collect_set(F.lower("p_type"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("s")).select("p_brand", F.size("s").cast("long").alias("n_names"), F.when(F.size("s") > 1, "ambiguous").otherwise(F.element_at("s", 1)).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'keep' WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'convert' WHEN o_orderstatus = 'F' THEN 'keep' WHEN o_orderpriority = '5-LOW' THEN 'error' ELSE 'convert' END AS rule FROM orders")
+def colour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode, gamma = F.col("o_orderstatus"), F.col("o_orderpriority")
+    rule = F.when(mode == "O", "keep").when((mode == "F") & gamma.isin("1-URGENT", "2-HIGH"), "convert").when(mode == "F", "keep").when(gamma == "5-LOW", "error").otherwise("convert")
+    return table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("rule"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
