@@ -54,3 +54,54 @@ def slerp(a: Column, b: Column, amount: Column) -> Column:
     u = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
     v = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
     return norm(quaternion(*[a[c] * u + b[c] * v for c in "wxyz"]))
+
+
+def axis_angle(axis: Column, angle: Column) -> Column:
+    """Turn about an axis; without an axis only the angle zero is one, anything else is null."""
+    length = F.sqrt(axis["x"] * axis["x"] + axis["y"] * axis["y"] + axis["z"] * axis["z"])
+    part = F.sin(angle / 2) / length
+    return F.when(length > 1e-12, norm(quaternion(F.cos(angle / 2), axis["x"] * part, axis["y"] * part, axis["z"] * part))).when(F.abs(angle) <= 1e-12, quaternion(F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+
+
+def euler(x: Column, y: Column, z: Column) -> Column:
+    """Turns in degrees about the fixed axes X, then Y, then Z."""
+    half = lambda c: F.radians(c) / 2
+    none = F.lit(0.0)
+    qx, qy, qz = quaternion(F.cos(half(x)), F.sin(half(x)), none, none), quaternion(F.cos(half(y)), none, F.sin(half(y)), none), quaternion(F.cos(half(z)), none, none, F.sin(half(z)))
+    return mul(mul(qz, qy), qx)
+
+
+def forward(q: Column) -> Column:
+    """Where the axis Z points."""
+    return F.struct((2 * (q["x"] * q["z"] + q["w"] * q["y"])).alias("x"), (2 * (q["y"] * q["z"] - q["w"] * q["x"])).alias("y"), (1 - 2 * (q["x"] * q["x"] + q["y"] * q["y"])).alias("z"))
+
+
+def yaw(q: Column) -> Column:
+    f = forward(q)
+    return F.atan2(f["x"], f["z"])
+
+
+def azimuth(q: Column) -> Column:
+    """Direction of the turned axis X on the ground; null within about three degrees of the vertical."""
+    x, y = 1 - 2 * (q["y"] * q["y"] + q["z"] * q["z"]), 2 * (q["x"] * q["y"] + q["w"] * q["z"])
+    return F.when(F.sqrt(x * x + y * y) > 0.05, F.atan2(y, x))
+
+
+def unwrap(angle: Column, near: Column) -> Column:
+    """The angle a whole number of turns away that is nearest to another."""
+    turn = 6.283185307179586
+    return angle + F.round((near - angle) / turn) * turn
+
+
+def gravity_correction(q: Column, acceleration: Column, gain: float = 0.5, tolerance: float = 0.15, innovation_degrees: float = 20.0) -> Column:
+    """Body rate that tips the measured up towards the pose's; null where the reading is not gravity alone.
+
+    The reading's length may be off one by the tolerance, its direction by the innovation angle.
+    """
+    length = F.sqrt(acceleration["x"] * acceleration["x"] + acceleration["y"] * acceleration["y"] + acceleration["z"] * acceleration["z"])
+    a = [acceleration[c] / length for c in "xyz"]
+    u = [2 * (q["x"] * q["z"] - q["w"] * q["y"]), 2 * (q["y"] * q["z"] + q["w"] * q["x"]), 1 - 2 * (q["x"] * q["x"] + q["y"] * q["y"])]
+    cosine = a[0] * u[0] + a[1] * u[1] + a[2] * u[2]
+    cross = [a[1] * u[2] - a[2] * u[1], a[2] * u[0] - a[0] * u[2], a[0] * u[1] - a[1] * u[0]]
+    fine = (F.abs(length - 1) <= tolerance) & (cosine >= F.cos(F.radians(F.lit(innovation_degrees))))
+    return F.when(fine, F.struct(*[(gain * c).alias(n) for c, n in zip(cross, "xyz", strict=True)]))
