@@ -79,3 +79,25 @@ def test_publish_never_replaces(spark, tmp_path):
 def test_verified(spark):
     df = spark.createDataFrame([("abc", 3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"), ("abc", 4, ""), ("abc", 3, "00")], "c string, n int, d string")
     assert [r["status"] for r in publish.verified(df, "c", "n", "d").collect()] == ["ok", "wrong_length", "wrong_digest"]
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_by_cells_equals_asof(spark, forward):
+    left = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 211).alias("t"), F.col("id").alias("name"))
+    left = left.unionByName(spark.createDataFrame([(None, 5, 1000), (1, None, 1001)], "k long, t long, name long"))
+    right = spark.range(40).select((F.col("id") % 3).alias("k"), (F.col("id") * 53 % 173 + 20).alias("t"), F.col("id").alias("v"))
+    whole, dealt = (sorted(map(tuple, alignment.asof_join(left, right, ["k"], "t", ["v"], forward=forward, cell=c).collect()), key=repr) for c in (None, 10))
+    assert whole == dealt and len(whole) == 402
+    sides = {(k, t): v for k, t, v in right.collect()}
+    for k, t, _, match, v in whole:
+        times = [x for kk, x in sides if kk == k and t is not None and (x >= t if forward else x <= t)]
+        best = (min if forward else max)(times) if times else None
+        assert match == best and v == (sides[k, best] if times else None)
+
+
+def test_quaternions_of_great_length_and_near_arcs(spark):
+    big = quat.norm(quat.quaternion(F.lit(3e200), F.lit(4e200), F.lit(0.0), F.lit(0.0)))
+    a, b = quat.norm(quat.quaternion(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))), quat.norm(quat.quaternion(F.lit(-1.0), F.lit(0.0), F.lit(0.01), F.lit(0.0)))
+    row = spark.range(1).select(big.alias("q"), quat.norm(quat.quaternion(*[F.lit(0.0)] * 4)).alias("none"), quat.slerp(a, b, F.lit(0.5)).alias("m"), quat.axis_angle(F.struct(*[F.lit(0.0).alias(c) for c in "xyz"]), F.lit(0.0)).alias("i")).first()
+    assert np.allclose(list(row["q"]), [0.6, 0.8, 0, 0]) and row["none"] is None and list(row["i"]) == [1, 0, 0, 0]
+    assert np.isclose(np.linalg.norm(list(row["m"])), 1) and np.isclose(row["m"]["y"], -0.005, atol=1e-6)

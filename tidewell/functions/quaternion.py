@@ -11,10 +11,9 @@ def quaternion(w, x, y, z) -> Column:
 
 
 def norm(q: Column) -> Column:
-    """Length one; null where the length is zero or not finite."""
-    n = F.sqrt(q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"])
-    fine = (n > 0) & (n < float("inf")) & ~F.isnan(n)
-    return F.when(fine, quaternion(q["w"] / n, q["x"] / n, q["y"] / n, q["z"] / n))
+    """Length one, without overflow on the way; null where the length is zero or not finite."""
+    n = F.hypot(F.hypot(q["w"], q["x"]), F.hypot(q["y"], q["z"]))
+    return F.when((n > 0) & (n < float("inf")), quaternion(q["w"] / n, q["x"] / n, q["y"] / n, q["z"] / n))
 
 
 def mul(a: Column, b: Column) -> Column:
@@ -45,15 +44,19 @@ def rotate(q: Column, v: Column) -> Column:
 
 
 def slerp(a: Column, b: Column, amount: Column) -> Column:
-    """The shorter arc between unit quaternions; a straight line, made unit again, where they are near."""
+    """The shorter arc between unit quaternions; a straight line, made unit again, where they are near.
+
+    The length of the line follows from the weights and the cosine, so the
+    components need not be squared, which keeps the expression small.
+    """
     t = F.least(F.greatest(amount, F.lit(0.0)), F.lit(1.0))
     dot = a["w"] * b["w"] + a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
-    sign = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
-    near = F.abs(dot) > 0.9995
-    u = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    v = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
-    return norm(quaternion(*[a[c] * u + b[c] * v for c in "wxyz"]))
+    cosine = F.least(F.abs(dot), F.lit(1.0))
+    angle = F.acos(cosine)
+    scale = F.when(cosine > 0.9995, F.sqrt(1 - 2 * t * (1 - t) * (1 - cosine))).otherwise(F.sin(angle))
+    u = F.when(cosine > 0.9995, 1 - t).otherwise(F.sin((1 - t) * angle)) / scale
+    v = F.when(cosine > 0.9995, t).otherwise(F.sin(t * angle)) / scale * F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return quaternion(*[a[c] * u + b[c] * v for c in "wxyz"])
 
 
 def axis_angle(axis: Column, angle: Column) -> Column:

@@ -67,7 +67,7 @@ def asof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
     frames = rows.where("event_type = 'view'").select("user_id", "t", "event_id")
     readings = rows.where("event_type = 'click'").select("user_id", "t", "value")
-    joined = alignment.asof_join(frames, readings, ["user_id"], "t", ["value"])
+    joined = alignment.asof_join(frames, readings, ["user_id"], "t", ["value"], cell=_DAY)
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t"))
     return joined.withColumn("gap", gap).groupBy("user_id").agg(F.count("*").alias("n_frames"), F.count("value").alias("n_covered"), F.max("gap").alias("max_gap_us"))
 
@@ -75,13 +75,13 @@ def asof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LOG}, f AS (SELECT user_id, event_id, t FROM log WHERE event_type = 'view'), e AS (SELECT user_id, t, max(value) AS value FROM log WHERE event_type = 'click' GROUP BY 1, 2) SELECT f.user_id, f.event_id, f.t, e.t AS t_match, e.value FROM f ASOF LEFT JOIN e ON f.user_id = e.user_id AND f.t >= e.t")
 def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    return alignment.asof_join(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'"), ["user_id"], "t", ["value"])
+    return alignment.asof_join(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'"), ["user_id"], "t", ["value"], cell=_DAY)
 
 
 @query(f"WITH {_LOG}, f AS (SELECT user_id, event_id, t FROM log WHERE event_type = 'view'), e AS (SELECT user_id, t, max(value) AS value FROM log WHERE event_type = 'click' GROUP BY 1, 2) SELECT f.user_id, f.event_id, f.t, e.t AS t_match, e.value FROM f ASOF LEFT JOIN e ON f.user_id = e.user_id AND f.t <= e.t")
 def asof_forward_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    return alignment.asof_join(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'"), ["user_id"], "t", ["value"], forward=True)
+    return alignment.asof_join(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'"), ["user_id"], "t", ["value"], forward=True, cell=_DAY)
 
 
 @query(f"""WITH {_LOG}, f AS (SELECT user_id, event_id, t FROM log WHERE event_type = 'view'), e AS (SELECT user_id, t, max(value) AS value FROM log WHERE event_type = 'click' GROUP BY 1, 2),
@@ -89,7 +89,7 @@ b AS (SELECT f.*, e.t AS t0, e.value AS v0 FROM f ASOF LEFT JOIN e ON f.user_id
 SELECT user_id, event_id, t, round(CASE WHEN t0 IS NULL OR t1 IS NULL THEN NULL WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (CAST(t - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE)) END, 6) AS value FROM a""")
 def asof_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    out = alignment.bracket_interp(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'").select("user_id", "t", "value"), ["user_id"], "t", "value")
+    out = alignment.bracket_interp(rows.where("event_type = 'view'").select("user_id", "t", "event_id"), rows.where("event_type = 'click'").select("user_id", "t", "value"), ["user_id"], "t", "value", cell=_DAY)
     return out.select("user_id", "event_id", "t", F.round("value", 6).alias("value"))
 
 
@@ -458,5 +458,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """The other modules of queries register themselves here when imported."""
-    for name in ("scalars",):
+    for name in ("scalars", "recordings"):
         import_module(f"tidewell.plans.{name}")
