@@ -458,5 +458,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """The other modules of queries register themselves here when imported."""
-    for name in ("scalars", "recordings"):
+    for name in ("scalars", "recordings", "rasters"):
         import_module(f"tidewell.plans.{name}")
