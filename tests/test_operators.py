@@ -48,9 +48,10 @@ def test_optics(spark):
     assert row["r"] == 4.0 and row["s"] == 0.5
 
 
-def test_ema_resets_where_the_clock_stands(spark):
+@pytest.mark.parametrize("cell", [1, 3, 100])
+def test_ema_resets_where_the_clock_stands(spark, cell):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 2, 9.0), ("a", 4, 9.0)], "k string, t long, v double")
-    got = sorted((r["t"], round(r["ema"], 6)) for r in ordered.ema_with_reset(df, ["k"], "t", "v", 0.5).collect())
+    got = sorted((r["t"], round(r["ema"], 6)) for r in ordered.ema_with_reset(df, ["k"], "t", "v", 0.5, cell).collect())
     assert got == [(1, 1.0), (2, 2.0), (2, 9.0), (4, 9.0)]
 
 

@@ -29,7 +29,7 @@ def drained(stream, folder, name):
 def test_ema(events):
     rows, stream, folder = events
     got = drained(stateful.ema_with_reset(stream, ["user_id"], "t", "value", 0.8), folder, "ema")
-    want = ordered.ema_with_reset(rows, ["user_id"], "t", "value", 0.8)
+    want = ordered.ema_with_reset(rows, ["user_id"], "t", "value", 0.8, 3_600_000_000)
     rounded = lambda df: sorted((r["user_id"], r["t"], round(r["ema"], 8)) for r in df.collect())
     assert rounded(got) == rounded(want)
 

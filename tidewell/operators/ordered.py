@@ -31,21 +31,39 @@ def reflect(place: Column, size: int) -> Column:
     return F.when(place < 0, -place).when(place >= size, 2 * (size - 1) - place).otherwise(place)
 
 
-def ema_with_reset(df: DataFrame, by: list[str], clock: str, value: str, rate: float) -> DataFrame:
+def ema_with_reset(df: DataFrame, by: list[str], clock: str, value: str, rate: float, cell: int) -> DataFrame:
     """Exponential mean of each key in clock order, begun anew where the clock does not increase.
 
-    The fold is not commutative, so each key is one ordered group, as it is for a
-    recording's sensor log.
+    Each row maps the mean before it to rate * mean + (1 - rate) * value, or to its
+    value alone where the mean begins anew; such maps compose. So each clock cell of
+    a key is folded by itself, the cells' maps (one row each) are chained, and a
+    long key is many tasks. Equal clocks lie in one cell. Rows with a null clock
+    or value take no part.
     """
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([clock, value])
-        out, last, mean = [], None, 0.0
+        means, shares, last, mean, share = [], [], None, 0.0, 1.0
         for t, v in zip(rows[clock], rows[value], strict=True):
-            mean = v if last is None or t <= last else rate * mean + (1 - rate) * v
+            anew = last is not None and t <= last
+            mean, share = (v, 0.0) if anew else (rate * mean + (1 - rate) * v, rate * share)
             last = t
-            out.append(mean)
-        return rows[[*by, clock]].assign(ema=out)
+            means.append(mean)
+            shares.append(share)
+        first = rows[value].iloc[0]
+        return rows[[*by, "__cell", clock]].assign(__at=range(len(rows)), __mean=means, __share=shares, __first=first)
 
-    return df.select(*by, clock, value).groupBy(*by).applyInPandas(fold, f"{kinds}, {clock} long, ema double")
+    def chain(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("__cell")
+        carried, mean = [], cells["__first"].iloc[0]  # a first value is its own mean
+        for m, s in zip(cells["__mean"], cells["__share"], strict=True):
+            carried.append(mean)
+            mean = m + s * mean
+        return cells[[*by, "__cell"]].assign(__carry=carried)
+
+    rows = df.select(*by, F.col(clock).cast("long").alias(clock), F.col(value).cast("double").alias(value)).where(F.col(clock).isNotNull() & F.col(value).isNotNull())
+    local = rows.withColumn("__cell", F.floor(F.col(clock) / cell)).groupBy(*by, "__cell").applyInPandas(fold, f"{kinds}, __cell long, {clock} long, __at long, __mean double, __share double, __first double")
+    ends = local.groupBy(*by, "__cell").agg(F.max_by(F.struct("__mean", "__share", "__first"), "__at").alias("__end")).select(*by, "__cell", "__end.*")
+    carries = ends.groupBy(*by).applyInPandas(chain, f"{kinds}, __cell long, __carry double")
+    return local.join(carries, [*by, "__cell"]).select(*by, clock, (F.col("__mean") + F.col("__share") * F.col("__carry")).alias("ema"))

@@ -348,7 +348,7 @@ def audio_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_LOG}, o AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t, value) AS n FROM log), r AS (SELECT user_id, t, n, value AS ema FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.t, o.n, CASE WHEN o.t <= r.t THEN o.value ELSE 0.98 * r.ema + 0.02 * o.value END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, t, round(ema, 4) AS ema FROM r""")
 def ema_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.ema_with_reset(log(spark, sf_dir), ["user_id"], "t", "value", 0.98).select("user_id", "t", F.round("ema", 4).alias("ema"))
+    return ordered.ema_with_reset(log(spark, sf_dir), ["user_id"], "t", "value", 0.98, cell=64 * _DAY).select("user_id", "t", F.round("ema", 4).alias("ema"))
 
 
 @query(f"WITH {_LOG} SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1) % 10 = 0 AS infer, (row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1) % 60 = 0 AS feature FROM log")

@@ -90,3 +90,26 @@ def proposal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dy = F.col("l_partkey") % 41 - 20, F.col("l_orderkey") % 41 - 20
     kept = (dx * dx + dy * dy <= 256) & (F.col("l_suppkey") % 7 <= 3) & (1 - F.col("l_discount") >= 0.95) & (F.col("l_quantity") >= 9) & (F.col("l_tax") * 400 <= F.greatest(0.95 * F.col("l_discount") * 500, F.lit(18.0)))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kept.alias("kept"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, avg(((9798 * (l_partkey % 256) + 19235 * (l_orderkey % 256) + 3735 * (l_suppkey % 256) + 16384) >> 15) / CAST(255 AS DOUBLE)) AS mean FROM lineitem GROUP BY 1)
+SELECT l_orderkey, round(mean, 6) AS mean, CASE WHEN mean > 0 AND mean < 1 THEN round(ln(least(1.5 * mean, 0.55)) / ln(mean), 6) END AS gamma FROM g""")
+def brighten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean grey of each picture and the exponent that takes it to its target; none where the mean is 0 or 1."""
+    from tidewell.functions import optics
+
+    byte = lambda c: F.col(c) % 256
+    mean = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg(optics.grey(byte("l_partkey"), byte("l_orderkey"), byte("l_suppkey")) / 255).alias("mean"))
+    gamma = F.when((F.col("mean") > 0) & (F.col("mean") < 1), F.log(F.least(1.5 * F.col("mean"), F.lit(0.55))) / F.log("mean"))
+    return mean.select("l_orderkey", F.round("mean", 6).alias("mean"), F.round(gamma, 6).alias("gamma"))
+
+
+@query(f"""WITH {_TILES}, f AS (SELECT vec_id, x, y, CAST(v % 3 AS BIGINT) AS d FROM tiles WHERE vec_id % 2 = 0), b AS (SELECT vec_id - 1 AS vec_id, x, y, CAST(v % 3 AS BIGINT) AS d FROM tiles WHERE vec_id % 2 = 1)
+SELECT f.vec_id, f.x, f.y, abs(f.d + b.d) AS residual FROM f JOIN b ON b.vec_id = f.vec_id AND b.y = f.y AND b.x = f.x + f.d WHERE abs(f.d + b.d) <= 1""")
+def flow_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward displacements that the backward ones at their ends undo."""
+    rows = tiles(spark, sf_dir).withColumn("d", F.col("v") % 3)
+    ahead = rows.where("vec_id % 2 = 0").withColumn("tx", F.col("x") + F.col("d"))
+    back = rows.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("tx"), "y", F.col("d").alias("e"))
+    residual = F.abs(F.col("d") + F.col("e"))
+    return ahead.join(back, ["vec_id", "tx", "y"]).where(residual <= 1).select("vec_id", "x", "y", residual.alias("residual"))
