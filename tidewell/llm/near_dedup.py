@@ -7,8 +7,11 @@ so that two texts agree on a sketch where they are alike in content and in order
 
 Equal texts are one node from the start. In each bucket (texts of one sketch
 value) every text is compared with the bucket's hub, the text that shares most
-buckets, and never with all others; texts that do not match go on to narrower
-buckets, of two, four, ... sketch values up to all, with a new hub in each. A candidate pair counts as a link where a banded alignment of the
+buckets. All other pairs of a bucket whose classes still differ are held against
+an exact upper bound, shingle counts by bins, block by block; those that it leaves
+are checked in rounds, the most promising of each class first and more of them in
+each round, until every pair of every bucket is in one class or checked.
+A candidate pair counts as a link where a banded alignment of the
 shingle sequences gives at least 0.8 of shared shingles over all; where blocks
 were moved, the same share of the sets of shingles is checked after it. Links are
 joined to classes by alternating star contraction, in Spark throughout.
@@ -37,6 +40,8 @@ from tidewell.llm.tokenise import Memo
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, KEPT = 16, 2
+#: Bins of the shingle counts that bound a similarity; texts of a block; growth of the pairs that a class tries in a block.
+BINS, BLOCK, GROWTH = 128, 256, 16
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -146,6 +151,88 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return same / (n + m - same), by_set
 
 
+MEASURES = ("n_all", "n_set", "bins_all", "bins_set")
+
+
+def binned(sh: np.ndarray) -> bytes:
+    """Shingles counted by bins; empty where a count does not fit a byte, and nothing is known of the text."""
+    counts = np.bincount((mixed(sh) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+class Side:
+    """Texts of one block: ids, classes, sizes and counts of the shingles and of their sets."""
+
+    def __init__(self, texts: list[dict]):
+        self.tid = [t["tid"] for t in texts]
+        self.root = np.frombuffer(b"".join(t["root"] for t in texts), np.uint64).reshape(-1, 2)
+        self.sizes = [np.array([t[k] for t in texts], np.int64) for k in ("n_all", "n_set")]
+        self.known = [np.array([len(t[k]) > 0 for t in texts]) for k in ("bins_all", "bins_set")]
+        self.counts = [np.frombuffer(b"".join(t[k] or bytes(BINS) for t in texts), np.uint8).reshape(-1, BINS) for k in ("bins_all", "bins_set")]
+
+
+def bounds(x: Side, i: int, y: Side) -> np.ndarray:
+    """Upper bounds of the similarity of text i of x to each text of y; -1 where it cannot reach SIMILARITY."""
+    out = np.full(len(y.tid), -1.0)
+    for k in (0, 1):
+        n, m = x.sizes[k][i], y.sizes[k]
+        shared = np.minimum(x.counts[k][i], y.counts[k]).sum(axis=1, dtype=np.int64)
+        shared = np.where(x.known[k][i] & y.known[k], shared, np.minimum(n, m))
+        good = 9 * shared >= 4 * (n + m)  # shared / (n + m - shared) >= 0.8
+        out = np.maximum(out, np.where(good, shared / (n + m - shared), -1.0))
+    return out
+
+
+def places(group: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The place of each score in its group, the highest first."""
+    order = np.lexsort((-score, group))
+    g = group[order]
+    at = np.arange(len(g))
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    out = np.empty(len(g), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def candidates(x: Side, y: Side | None, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of two classes that may be similar, `most` of each class at least; True where others were left for later."""
+    other = x if y is None else y
+    scores = np.full((len(x.tid), len(other.tid)), -1.0)
+    for i in range(len(x.tid)):
+        differ = (other.root != x.root[i]).any(axis=1)
+        if y is None:
+            differ[: i + 1] = False
+        if differ.any():
+            scores[i] = np.where(differ, bounds(x, i, other), -1.0)
+    i, j = np.nonzero(scores >= 0)
+    if len(i) <= most:
+        return i, j, False
+    score = scores[i, j]
+    now = np.zeros(len(i), bool)
+    for side, at in ((x, i), (other, j)):
+        now |= places(np.unique(side.root, axis=0, return_inverse=True)[1].ravel()[at], score) < most
+    return i[now], j[now], not now.all()
+
+
+def _bound(most: int):
+    """Candidate pairs of blocks; a row of nulls where pairs were left for later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a: list[bytes | None] = []
+            b: list[bytes | None] = []
+            for k in range(batch.num_rows):
+                x, other = Side(batch.column("x")[k].as_py()), batch.column("y")[k].as_py()
+                y = None if other is None else Side(other)
+                i, j, more = candidates(x, y, most)
+                a += [x.tid[n] for n in i.tolist()] + [None] * more
+                b += [(y or x).tid[n] for n in j.tolist()] + [None] * more
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in slices(batches, most=1 << 20):
@@ -155,7 +242,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if some:
             for i, v in zip(some, sketches([texts[i] for i in some]).view(np.int64).tolist(), strict=True):
                 values[i] = v
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "tid", "sketches"])
+        sets = [np.unique(t) for t in texts]
+        sizes = [pa.array([len(t) for t in x], pa.int64()) for x in (texts, sets)]
+        counted = [binned(t) for t in texts]
+        bins = [pa.array(x, pa.binary()) for x in (counted, [c if len(u) == len(t) else binned(u) for c, u, t in zip(counted, sets, texts, strict=True)])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(values, pa.list_(pa.int64())), *sizes, *bins], ["doc_id", "tid", "sketches", *MEASURES])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,61 +293,75 @@ def contract(links: DataFrame) -> DataFrame:
         before = state
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Checked links (a, b) between different texts.
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, good) of candidate pairs (a, b)."""
+    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
+    checked = map_arrow(pairs.join(left, "a").join(right, "b"), _check, "a binary, b binary, in_order double, by_set double")
+    return materialise(checked.select("a", "b", ((F.col("in_order") >= SIMILARITY) | (F.col("by_set") >= SIMILARITY)).alias("good")), "checked")
+
+
+def _open(rows: DataFrame, nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """(a, b) of the pairs of one bucket and two classes that may be similar, nulls where some are left; rows: (tid, bucket)."""
+    classed = rows.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "bucket", F.coalesce("root", "tid").alias("root"))
+    mixed_up = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    left = classed.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    # Blocks are drawn by hash: no sort of a whole bucket, and none in one task.
+    left = left.withColumn("i", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).join(nodes.select("tid", *MEASURES), "tid")
+    blocks = left.groupBy("bucket", "i", "blocks").agg(F.collect_list(F.struct("tid", "root", *MEASURES)).alias("x"))
+    blocks = materialise(blocks, "blocks")
+    own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    later = blocks.where("i > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
+    both = blocks.where("i < blocks - 1").select("bucket", "i", "x").join(later, ["bucket", "i"]).select("x", "y")
+    pairs = map_arrow(own.unionAll(both), _bound(most), "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    docs: (tid, text) rows; nodes: one (tid, sketches) row for each text.
+
+def _united(found: list[DataFrame]) -> DataFrame:
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionAll(x)
+    return contract(every.where("good"))
+
+
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root) of the classes of more than one text.
+
+    docs: (tid, text) rows; nodes: one (tid, sketches, measures) row for each text.
     """
-    spark = docs.sparkSession
-    rows = nodes.where(F.col("sketches").isNotNull()).select("tid", F.posexplode("sketches").alias("i", "bucket"), "sketches")
-    found: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    texts: DataFrame | None = None
-    depth = 1
-    while depth <= SKETCHES:
-        shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = rows.join(shared, "bucket")
-        if depth == 1:
-            rows = materialise(rows, "buckets")
-            weight = rows.groupBy("tid").agg(F.sum("n").alias("w"))
-            rows = rows.join(weight, "tid").drop("n")
-            texts = docs.join(weight.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-            texts = materialise(texts, "texts")
-        else:
-            rows = materialise(rows.drop("n"), "buckets")
-        hubs = rows.groupBy("bucket").agg(F.max(F.struct("w", "tid")).alias("hub")).select("bucket", F.col("hub.tid").alias("hub"))
-        met = rows.join(hubs, "bucket").where("tid <> hub").withColumn("a", F.greatest("tid", "hub")).withColumn("b", F.least("tid", "hub"))
-        met = materialise(met.select("tid", "i", "bucket", "sketches", "w", "a", "b"), "met")
-        if met.isEmpty():
-            break
-        pairs = met.select("a", "b").distinct()
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        left = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-        checked = map_arrow(pairs.join(left, "a").join(right, "b"), _check, "a binary, b binary, in_order double, by_set double")
-        checked = materialise(checked, "checked")
-        tried.append(checked.select("a", "b"))
-        found.append(checked.where((F.col("in_order") >= SIMILARITY) | (F.col("by_set") >= SIMILARITY)))
-        rows = met
-        for good in found:
-            rows = rows.join(good.select("a", "b"), ["a", "b"], "left_anti")
-        # The next buckets take as many sketch values again, beside those that made this one.
-        beside = [F.element_at("sketches", F.pmod(F.col("i") + k, F.lit(SKETCHES)) + 1) for k in range(depth, min(2 * depth, SKETCHES))]
-        rows = rows.select("tid", "i", F.xxhash64("bucket", *beside).alias("bucket"), "sketches", "w") if beside else rows
-        depth *= 2
-    none = spark.createDataFrame([], "a binary, b binary, in_order double, by_set double")
-    for x in found:
-        none = none.unionAll(x)
-    return none
+    rows = nodes.where(F.col("sketches").isNotNull()).select("tid", F.explode("sketches").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialise(rows.join(shared, "bucket"), "buckets")
+    weight = rows.groupBy("tid").agg(F.sum("n").alias("w"))
+    texts = materialise(docs.join(weight.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
+    rows = rows.join(weight, "tid").select("tid", "bucket", "w")
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("w", "tid")).alias("hub")).select("bucket", F.col("hub.tid").alias("hub"))
+    met = materialise(rows.join(hubs, "bucket").where("tid <> hub").select("tid", "bucket", "hub"), "met")
+    pairs = met.select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
+    found = [_checked(pairs, texts)]
+    roots = _united(found)
+    # The hub's own pairs are done; any other pair of the bucket is in one class by now, or goes on.
+    most = 1
+    while True:
+        near = materialise(_open(met.select("tid", "bucket"), nodes, roots, most), "near")
+        pairs = near.where(F.col("a").isNotNull())
+        for tried in found:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        whole = near.where(F.col("a").isNull()).isEmpty()
+        if not (whole and pairs.isEmpty()):
+            found.append(_checked(pairs, texts))
+            roots = _united(found)
+        if whole:
+            return roots
+        most *= GROWTH
 
 
 def _roots(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, tid, root) of each document: root is the same for all texts of a class."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), text_id(text_column).alias("tid"))
-    sketched = materialise(map_arrow(rows.select("doc_id", "tid", "text"), _sketch, "doc_id long, tid binary, sketches array<long>"), "sketches")
-    nodes = sketched.groupBy("tid").agg(F.first("sketches").alias("sketches"))
-    roots = contract(links(rows.select("tid", "text"), nodes))
+    sketched = materialise(map_arrow(rows.select("doc_id", "tid", "text"), _sketch, "doc_id long, tid binary, sketches array<long>, n_all long, n_set long, bins_all binary, bins_set binary"), "sketches")
+    nodes = sketched.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("sketches", *MEASURES)])
+    roots = linked(rows.select("tid", "text"), nodes)
     return materialise(sketched.select("doc_id", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root")), "roots")
 
 
