@@ -28,3 +28,12 @@ def test_near_dedup_links_stars_and_chains(spark):
     assert {found[i] for i in range(400)} == {0}
     assert {found[1000 + i] for i in range(300)} == {1000}
     assert all(found[2000 + i] == 2000 + i for i in range(400))
+
+
+def test_near_dedup_uses_up_a_hot_bucket(spark):
+    """Rounds do not end while copies of a large group are unmatched: 845 classes with rounds of 1, 2, 4, 8 and 16 sketches."""
+    r = random.Random(17)
+    words = [f"s{i}" for i in range(200)]
+    rows = [(0, " ".join(words))] + [(i, edited(r, words, f"x{i}")) for i in range(1, 1501)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {x["class_id"] for x in near_dedup.classes(docs).collect()} == {0}
