@@ -2,7 +2,9 @@
 
 import random
 
-from tidewell.llm import near_dedup
+from pyspark.sql import functions as F
+
+from tidewell.llm import near_dedup, secret_scan
 
 
 def edited(r: random.Random, words: list[str], name: str, edits: int = 3) -> str:
@@ -37,3 +39,19 @@ def test_near_dedup_uses_up_a_hot_bucket(spark):
     rows = [(0, " ".join(words))] + [(i, edited(r, words, f"x{i}")) for i in range(1, 1501)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert {x["class_id"] for x in near_dedup.classes(docs).collect()} == {0}
+
+
+def test_secret_scan_finds_keys_behind_names(spark):
+    """Names joined to a key do not hide it, and the best stretch is that of all stretches."""
+    r = random.Random(23)
+    letters = secret_scan.ALPHABET[:62]
+    table = secret_scan.train(secret_scan.default_samples(spark))
+    n, place = len(secret_scan.ALPHABET), {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    leads = ("client_session=", "my_service_client_public=", "one/public/path/to/files/")
+    rows = [(i, leads[i % 3] + "".join(r.choice(letters) for _ in range((20, 32, 40)[i // 3 % 3]))) for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["n_markov"] for x in secret_scan.scan(docs, table).collect()}
+    assert sum(found.values()) > 0.95 * len(rows)
+    for x in docs.limit(20).withColumn("best", secret_scan.best(F.col("text"), table)).collect():
+        w = [table[place[a] * n + place[b]] - secret_scan.THRESHOLD for a, b in zip(x["text"], x["text"][1:], strict=False)]
+        assert x["best"] == max(sum(w[i:j]) for i in range(len(w)) for j in range(i + secret_scan.LEAST_RUN - 1, len(w) + 1))

@@ -4,7 +4,9 @@ A first-order Markov model of random strings and one of ordinary identifiers are
 trained from labelled samples. The log-likelihood ratio of a run of identifier
 characters tells a random string (a key) from a name somebody wrote. Three base
 patterns (assignments, access keys, hexadecimal runs) are found as they are; the
-models add the runs of high ratio that overlap no base span.
+models add the runs that overlap no base span and hold a stretch of high ratio, so
+that names before or after a key do not hide it. The span is the whole run: the ends
+of a stretch may lie inside the key.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated
 rows; a null doc_id stays null; an empty table gives an empty table; columns
@@ -33,7 +35,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 RUN = r"[A-Za-z0-9+/_=]{%d,}"
 LEAST_RUN = 20
-#: Mean log-likelihood ratio a transition, in thousandths of a nat, from which a run counts as random.
+#: Mean log-likelihood ratio a transition, in thousandths of a nat, from which a stretch of LEAST_RUN characters or more counts as random.
 THRESHOLD = 350
 
 #: Words of which the default samples of ordinary identifiers are put together.
@@ -102,15 +104,39 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     return table
 
 
-def ratio(string: Column, table: Sequence[int]) -> Column:
-    """Sum of the transitions' log-likelihood ratios over a string of the alphabet."""
+def _codes(string: Column) -> Column:
+    """Places of a string's characters in ALPHABET."""
     where = [0] * 128
     for k, c in enumerate(ALPHABET):
         where[ord(c)] = k
-    place, weights, n = F.lit(where), F.lit(list(table)), len(ALPHABET)
-    codes = F.transform(F.split(string, ""), lambda c: F.element_at(place, F.ascii(c) + 1))
+    place = F.lit(where)
+    return F.transform(F.split(string, ""), lambda c: F.element_at(place, F.ascii(c) + 1))
+
+
+def best(string: Column, table: Sequence[int], threshold: int = THRESHOLD, least: int = LEAST_RUN) -> Column:
+    """The largest sum of ratios less `threshold` a transition over the stretches of `least` characters or more; null where there is none.
+
+    One pass: the sum so far, its last values, and the least of those that lie far enough back.
+    """
+    weights, n, back = F.lit(list(table)), len(ALPHABET), least - 1
+    none = F.lit(None).cast("long")
+
+    def step(acc: Column, code: Column) -> Column:
+        now = acc["sum"] + F.when(acc["last"] < 0, F.lit(0)).otherwise(F.element_at(weights, acc["last"] * n + code + 1) - threshold)
+        full = F.size(acc["sums"]) == back
+        low = F.when(full, F.least(acc["low"], F.element_at(acc["sums"], 1))).otherwise(acc["low"])
+        sums = F.concat(F.when(full, F.slice(acc["sums"], 2, back)).otherwise(acc["sums"]), F.array(now))
+        return F.struct(code.alias("last"), now.alias("sum"), sums.alias("sums"), low.alias("low"), F.greatest(acc["best"], now - low).alias("best"))
+
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"), none.alias("low"), none.alias("best"))
+    return F.aggregate(_codes(string), start, step, lambda acc: acc["best"])
+
+
+def ratio(string: Column, table: Sequence[int]) -> Column:
+    """Sum of the transitions' log-likelihood ratios over a string of the alphabet."""
+    weights, n = F.lit(list(table)), len(ALPHABET)
     return F.aggregate(
-        codes,
+        _codes(string),
         F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("sum")),
         lambda acc, code: F.struct(code.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, F.lit(0)).otherwise(F.element_at(weights, acc["last"] * n + code + 1))).alias("sum")),
         lambda acc: acc["sum"],
@@ -155,7 +181,7 @@ def spans(docs: DataFrame, table: Sequence[int], id_column: str = "doc_id", text
     none = F.array(F.struct(*[F.lit(None).cast("string" if c == "run" else "int").alias(c) for c in ("kind", "n", "gap", "len", "value_len", "run")])).cast(found_type)
     numbered = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.concat(none, *found).alias("found"))
     rows = numbered.select("id", "row", F.explode("found").alias("s")).select("id", "row", "s.*")
-    least = F.when(F.col("kind") == 0, F.col("value_len") >= LEAST["assign"]).when(F.col("kind") == 3, ratio(F.col("run"), table) >= threshold * (F.col("len") - 1)).otherwise(F.lit(True))
+    least = F.when(F.col("kind") == 0, F.col("value_len") >= LEAST["assign"]).when(F.col("kind") == 3, best(F.col("run"), table, threshold) >= 0).otherwise(F.lit(True))
     rows = rows.withColumn("good", least).drop("run", "value_len").repartition("row")
     order = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
