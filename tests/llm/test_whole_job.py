@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.llm import near_dedup, secret_scan
@@ -55,3 +56,10 @@ def test_secret_scan_finds_keys_behind_names(spark):
     for x in docs.limit(20).withColumn("best", secret_scan.best(F.col("text"), table)).collect():
         w = [table[place[a] * n + place[b]] - secret_scan.THRESHOLD for a, b in zip(x["text"], x["text"][1:], strict=False)]
         assert x["best"] == max(sum(w[i:j]) for i in range(len(w)) for j in range(i + secret_scan.LEAST_RUN - 1, len(w) + 1))
+
+
+def test_repeated_lines_count_as_often_as_they_stand():
+    """Texts of repeated lines with a few of their own in between are aligned, although their sets differ."""
+    a, b = (np.array([v for k in range(60) for v in [1, 2, 3, 4, 5, *([base + k] if k % 6 == 0 else [])]]) for base in (100, 900))
+    in_order, by_set = near_dedup.similarity(a, b)
+    assert by_set < 0.4 and in_order == 300 / 320

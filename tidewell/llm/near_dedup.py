@@ -135,8 +135,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, 0.0
-    x, y = np.unique(a), np.unique(b)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
+    x, in_a = np.unique(a, return_counts=True)
+    y, in_b = np.unique(b, return_counts=True)
+    _, at_a, at_b = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = len(at_a)
+    common = int(np.minimum(in_a[at_a], in_b[at_b]).sum())  # no alignment has more
     by_set = shared / (len(x) + len(y) - shared)
     if min(n, m) < SIMILARITY * max(n, m):
         return 0.0, by_set
@@ -146,7 +149,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     a, b, k = a[head:], b[head:], k - head
     differ = np.flatnonzero(a[::-1][:k] != b[::-1][:k])
     tail = int(differ[0]) if len(differ) else k
-    rest = aligned(a[: len(a) - tail], b[: len(b) - tail], int(0.25 * max(n, m)) + 1) if by_set >= SIMILARITY / 2 else 0
+    rest = aligned(a[: len(a) - tail], b[: len(b) - tail], int(0.25 * max(n, m)) + 1) if 9 * common >= 4 * (n + m) else 0
     same = head + tail + rest
     return same / (n + m - same), by_set
 
