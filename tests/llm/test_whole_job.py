@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewell.llm import near_dedup, secret_scan
+from tidewell.llm import language_id, near_dedup, secret_scan
 
 
 def edited(r: random.Random, words: list[str], name: str, edits: int = 3) -> str:
@@ -63,3 +63,15 @@ def test_repeated_lines_count_as_often_as_they_stand():
     a, b = (np.array([v for k in range(60) for v in [1, 2, 3, 4, 5, *([base + k] if k % 6 == 0 else [])]]) for base in (100, 900))
     in_order, by_set = near_dedup.similarity(a, b)
     assert by_set < 0.4 and in_order == 300 / 320
+
+
+def test_short_texts_and_small_tables_are_rejected_too():
+    """A text that no model knows is rejected under 40 symbols, and where no documents are kept for the bound."""
+    r = random.Random(29)
+    words = "the of and to in is that for it was on are with as his they at be this from have or by one had not but what all were".split()
+    strange = "привет как дела сегодня мой друг"
+    for n in (100, 6):
+        model = language_id.Identifier({"en": [" ".join(r.choice(words) for _ in range(80)) for _ in range(n)]})
+        own = [" ".join(r.choice(words) for _ in range(k)) for k in (1, 2, 3, 5, 9, 40) for _ in range(20)]
+        assert model.predict([strange, strange * 3], language_id.symbol_table())[3].all()
+        assert not model.predict(own, language_id.symbol_table())[3].any()

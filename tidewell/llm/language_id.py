@@ -6,7 +6,8 @@ sorted hashes of the n-grams that any language has, and beside each hash the
 interpolated log-probability in every language; for n-grams that none has, the
 back-off weights of the contexts. The language of the least cross-entropy a
 symbol wins. A rejection bound on that entropy is taken from documents of the
-sample that the models were not trained on.
+sample that the models were not trained on, or where there are none, from the
+number of letters; it is wider for short texts, by the root of their length.
 
 Training reads a sample of at most TRAIN_DOCS documents of each language, those
 of the smallest hash of the id, whole texts. The languages are few, so the sample
@@ -35,7 +36,7 @@ from tidewell.llm.common import is_held_out, map_arrow, ship, slices
 TRAIN_DOCS = 500
 BOUND_SHARE = 5
 ORDER = 4
-#: Symbols below which a text's entropy says too little to reject it.
+#: Symbols of the documents that the bound is taken from; shorter texts, whose entropy says less, get a wider margin.
 LEAST_SYMBOLS = 40
 #: Nats above the largest entropy of the kept documents from which a text is rejected.
 MARGIN = 1.0
@@ -193,7 +194,9 @@ class Identifier:
         kept = {lang: t[::BOUND_SHARE] if len(t) > 2 * BOUND_SHARE else [] for lang, t in texts.items()}
         learnt = {lang: [x for i, x in enumerate(t) if not kept[lang] or i % BOUND_SHARE] for lang, t in texts.items()}
         self.models, table = Models(learnt), symbol_table()
-        self.bound, self.scale = float("inf"), 20.0
+        # Where no long documents are kept: a uniform draw of the letters of the language that has most, and the blank.
+        most = max((len({c for x in t for c in x.lower() if c.isalpha()}) for t in learnt.values()), default=0) + 1
+        self.bound, self.scale = float(np.log(most)) + MARGIN, 20.0
         if any(kept.values()):
             h, n, letters = self.models.entropies([x for t in kept.values() for x in t], table)
             wanted = np.repeat(np.arange(len(kept)), [len(kept[x]) for x in self.models.langs]) if list(kept) == self.models.langs else np.concatenate([[self.models.langs.index(x)] * len(t) for x, t in kept.items()]).astype(int)
@@ -216,7 +219,8 @@ class Identifier:
         score = 1 / np.exp(-self.scale * (h - least[:, None])).sum(axis=1)
         none = letters == 0
         score[none] = 0
-        rejected = none | (n >= LEAST_SYMBOLS) & (least > self.bound)
+        wider = MARGIN * (np.sqrt(LEAST_SYMBOLS / np.clip(n, 1, LEAST_SYMBOLS)) - 1)
+        rejected = none | (least > self.bound + wider)
         return ["und" if none[i] else self.models.langs[b] for i, b in enumerate(best)], score, least, rejected
 
 
