@@ -82,6 +82,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dotted(column: str):
+    """A column by its own name, dots and all."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def text_id(column: str):
+    """A digest that stands for a whole text; null is empty."""
+    return F.unhex(F.sha2(F.coalesce(dotted(column).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+class Workspace:
+    """Intermediate tables of one call in a folder of their own, removed as soon as its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path, self.n = spark, name, scratch(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back: cuts lineage, survives lost executors."""
+        self.n += 1
+        path = f"{self.path}/{self.n:03}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df written beside the folder, which then goes."""
+        out = materialise(df, f"{self.name}-result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def local_path(uri: str) -> str:
     """The path that Python opens for a file: URI; other schemes are left to pyarrow."""
     if uri.startswith("file:"):

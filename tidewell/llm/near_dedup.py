@@ -1,30 +1,37 @@
 """Near-duplicate classes by Order MinHash with alignment checks.
 
-A text is its sequence of five-word shingles; a text of fewer words is one
-shingle. Each of SKETCHES sketches takes the few shingles of smallest hash, a
-shingle's occurrences told apart by their number, and keeps them in text order,
-so that two texts agree on a sketch where they are alike in content and in order.
-
-Equal texts are one node from the start. In each bucket (texts of one sketch
-value) every text is compared with the bucket's hub, the text that shares most
-buckets. All other pairs of a bucket whose classes still differ are held against
-an exact upper bound, shingle counts by bins, block by block; those that it leaves
-are checked in rounds, the most promising of each class first and more of them in
-each round, until every pair of every bucket is in one class or checked.
-A candidate pair counts as a link where a banded alignment of the
-shingle sequences gives at least 0.8 of shared shingles over all; where blocks
-were moved, the same share of the sets of shingles is checked after it. Links are
-joined to classes by alternating star contraction, in Spark throughout.
+A text is its sequence of five-word shingles, a shingle's occurrences told apart
+by their number; a text of fewer words is one shingle. Each of SKETCHES sketches
+takes the few shingles of smallest hash and keeps them in text order, so that two
+texts agree on a sketch where they are alike in content and in order.
+
+Equal texts are one node from the start. Texts of one sketch value are a bucket,
+and two texts that share a bucket are candidates. In each bucket every text is
+aligned with the bucket's hub; the links found join texts to classes. Every other
+pair of a bucket whose classes still differ is settled in one pass: the bucket is
+cut into blocks of bounded size, a task for each pair of blocks counts the shared
+shingles of all its pairs exactly, and aligns those that can be links, the most
+alike first, until they are in one class. So no pair that shares a bucket is lost;
+a pair of texts is looked at in the first bucket that it shares only.
+
+A link is an alignment of at least 0.8 of shared shingles over all: shingles
+matched in order within the band that 0.8 leaves, or, where blocks were moved,
+matched runs on any diagonal; the second is also taken over the first occurrences
+of shingles alone, so that lines repeated more often in one text do not count.
+Links are joined to classes by alternating star contraction, in Spark throughout.
 
 Defined results: a null text is an empty one; texts without a word are classes
 with their exact copies; repeated rows get the same class; class_id is the
-smallest doc_id of the class, null where all are null; an empty table gives an
-empty table; columns other than the id and the text are neither read nor returned.
+smallest id of the class, null where all are null; ids of any type that can be
+ordered; an empty table gives an empty table; columns other than the id and the
+text are neither read nor returned. Of rows with one id and one text `keep_one`
+keeps the one whose JSON is least.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -34,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, materialise, slices
+from tidewell.llm.common import Workspace, dotted, map_arrow, slices, text_id
 from tidewell.llm.tokenise import Memo
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES, KEPT = 16, 2
-#: Bins of the shingle counts that bound a similarity; texts of a block; growth of the pairs that a class tries in a block.
-BINS, BLOCK, GROWTH = 128, 256, 16
+#: Texts of a block, shingles of a block and columns of a step of counting: a task holds two blocks.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,28 +84,37 @@ class Shingler:
 
 
 def labelled(sh: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Shingles made different by the number of equal ones before them in their text."""
+    """Shingles made different by the number of equal ones before them in their text; first occurrences are even."""
     order = np.lexsort((sh, row))
     s, r = sh[order], row[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
     out = np.empty_like(sh)
-    out[order] = mixed(s + (np.arange(len(s)) - start).astype(np.uint64) * _ODD)
+    one = np.uint64(1)
+    out[order] = mixed(s + nth.astype(np.uint64) * _ODD) & ~one | (nth > 0).astype(np.uint64)
     return out
 
 
+def tags(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The labelled shingles of each text, in text order."""
+    if not texts:
+        return []
+    n = [len(t) for t in texts]
+    return np.split(labelled(np.concatenate(texts), np.repeat(np.arange(len(n)), n)), np.cumsum(n)[:-1])
+
+
 def sketches(texts: list[np.ndarray]) -> np.ndarray:
-    """(texts, SKETCHES) sketch values; texts: shingles of at least one each."""
+    """(texts, SKETCHES) sketch values; texts: labelled shingles of at least one each."""
     n = np.array([len(t) for t in texts])
     first = np.concatenate(([0], np.cumsum(n)[:-1]))
     row = np.repeat(np.arange(len(texts)), n)
-    tags = labelled(np.concatenate(texts), row)
-    place = np.arange(len(tags))
+    every = np.concatenate(texts)
+    place = np.arange(len(every))
     out = np.empty((len(texts), SKETCHES), np.uint64)
     most = np.uint64(2**64 - 1)
     for i in range(SKETCHES):
-        h = mixed(tags ^ np.uint64((i + 1) * int(_A) % (1 << 64)))
+        h = mixed(every ^ np.uint64((i + 1) * int(_A) % (1 << 64)))
         places = []
         for _ in range(KEPT):
             least = np.minimum.reduceat(h, first)
@@ -107,133 +123,142 @@ def sketches(texts: list[np.ndarray]) -> np.ndarray:
             h[at] = most
         value = np.full(len(texts), (i + 1) * int(_ODD) % (1 << 64), np.uint64)
         for at in np.sort(np.stack(places), axis=0):
-            value = mixed(value + tags[at])
+            value = mixed(value + every[at])
         out[:, i] = value
     return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Shingles of a and b matched in order, at most `band` places apart: a bit-parallel longest common subsequence."""
-    n = len(a)
-    where: dict[int, int] = {}
-    for i, s in enumerate(a.tolist()):
-        where[s] = where.get(s, 0) | 1 << i
-    full = (1 << n) - 1
-    v, window = full, (1 << 2 * band + 1) - 1
-    for j, s in enumerate(b.tolist()):
-        m = where.get(s, 0)
-        if m:
-            low = j - band
-            m &= window << low if low >= 0 else window >> -low
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return n - v.bit_count()
+    """Shingles of a and b matched in order, at most `band` places apart: the longest increasing chain of matching places."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    i = np.repeat(np.arange(len(a)), n)
+    # Places of b by falling order within one place of a, so that a chain takes one of them.
+    j = order[np.repeat(high, n) - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))]
+    j = j[np.abs(i - j) <= band]
+    if len(j) < 2 or (j[1:] > j[:-1]).all():
+        return len(j)
+    ends: list[int] = []
+    for x in j.tolist():
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """Shares of the labelled shingles of a and b that are matched: in order, of first occurrences anywhere, of all anywhere.
+
+    A match in order is at most a ninth of both lengths apart, which is all that
+    SIMILARITY leaves unmatched.
+    """
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0.0, 0.0, 0.0
+    same = aligned(a, b, (n + m) // 9 + 1)
+    if same / (n + m - same) >= SIMILARITY:
+        return same / (n + m - same), 0.0, 0.0
+    common = np.intersect1d(a, b, assume_unique=True)
+    once = int((common % 2 == 0).sum())
+    firsts = int((a % 2 == 0).sum() + (b % 2 == 0).sum())
+    return same / (n + m - same), once / (firsts - once), len(common) / (n + m - len(common))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(share of shingles aligned in order, share of the sets of shingles); 0 where no alignment can reach SIMILARITY."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0, 0.0
-    x, in_a = np.unique(a, return_counts=True)
-    y, in_b = np.unique(b, return_counts=True)
-    _, at_a, at_b = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = len(at_a)
-    common = int(np.minimum(in_a[at_a], in_b[at_b]).sum())  # no alignment has more
-    by_set = shared / (len(x) + len(y) - shared)
-    if min(n, m) < SIMILARITY * max(n, m):
-        return 0.0, by_set
-    k = min(n, m)
-    differ = np.flatnonzero(a[:k] != b[:k])
-    head = int(differ[0]) if len(differ) else k
-    a, b, k = a[head:], b[head:], k - head
-    differ = np.flatnonzero(a[::-1][:k] != b[::-1][:k])
-    tail = int(differ[0]) if len(differ) else k
-    rest = aligned(a[: len(a) - tail], b[: len(b) - tail], int(0.25 * max(n, m)) + 1) if 9 * common >= 4 * (n + m) else 0
-    same = head + tail + rest
-    return same / (n + m - same), by_set
-
-
-MEASURES = ("n_all", "n_set", "bins_all", "bins_set")
-
-
-def binned(sh: np.ndarray) -> bytes:
-    """Shingles counted by bins; empty where a count does not fit a byte, and nothing is known of the text."""
-    counts = np.bincount((mixed(sh) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
-
-
-class Side:
-    """Texts of one block: ids, classes, sizes and counts of the shingles and of their sets."""
+    """(share of shingles aligned in order, share of the sets of shingles, 0 where the first is enough) of two texts."""
+    x, y = tags([np.asarray(a).astype(np.uint64), np.asarray(b).astype(np.uint64)])
+    return alike(x, y)[:2]
+
+
+class Block:
+    """Texts of one block: ids, classes, sketches and labelled shingles."""
 
     def __init__(self, texts: list[dict]):
         self.tid = [t["tid"] for t in texts]
-        self.root = np.frombuffer(b"".join(t["root"] for t in texts), np.uint64).reshape(-1, 2)
-        self.sizes = [np.array([t[k] for t in texts], np.int64) for k in ("n_all", "n_set")]
-        self.known = [np.array([len(t[k]) > 0 for t in texts]) for k in ("bins_all", "bins_set")]
-        self.counts = [np.frombuffer(b"".join(t[k] or bytes(BINS) for t in texts), np.uint8).reshape(-1, BINS) for k in ("bins_all", "bins_set")]
-
-
-def bounds(x: Side, i: int, y: Side) -> np.ndarray:
-    """Upper bounds of the similarity of text i of x to each text of y; -1 where it cannot reach SIMILARITY."""
-    out = np.full(len(y.tid), -1.0)
-    for k in (0, 1):
-        n, m = x.sizes[k][i], y.sizes[k]
-        shared = np.minimum(x.counts[k][i], y.counts[k]).sum(axis=1, dtype=np.int64)
-        shared = np.where(x.known[k][i] & y.known[k], shared, np.minimum(n, m))
-        good = 9 * shared >= 4 * (n + m)  # shared / (n + m - shared) >= 0.8
-        out = np.maximum(out, np.where(good, shared / (n + m - shared), -1.0))
-    return out
+        self.root = [t["root"] for t in texts]
+        self.sketches = np.array([t["sketches"] for t in texts], np.int64).reshape(-1, SKETCHES)
+        self.tags = [np.frombuffer(t["tags"], np.uint64) for t in texts]
+        self.sizes = [np.array([len(t) for t in self.tags]), np.array([(t % 2 == 0).sum() for t in self.tags])]
+
+    def some(self, keep: np.ndarray) -> Block:
+        out = object.__new__(Block)
+        for k in ("tid", "root", "tags"):
+            setattr(out, k, [v for v, x in zip(getattr(self, k), keep.tolist(), strict=True) if x])
+        out.sketches, out.sizes = self.sketches[keep], [x[keep] for x in self.sizes]
+        return out
 
 
-def places(group: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """The place of each score in its group, the highest first."""
-    order = np.lexsort((-score, group))
-    g = group[order]
-    at = np.arange(len(g))
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    out = np.empty(len(g), np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+def shared(x: Block, y: Block) -> list[np.ndarray]:
+    """For all pairs, the number of labelled shingles in both texts, and of first occurrences in both."""
+    every = np.concatenate([*x.tags, *y.tags])
+    owner = np.repeat(np.arange(len(x.tags) + len(y.tags)), [len(t) for t in (*x.tags, *y.tags)])
+    values, column = np.unique(every, return_inverse=True)
+    left = owner < len(x.tags)
+    both = np.bincount(column[left], minlength=len(values)).astype(bool) & np.bincount(column[~left], minlength=len(values)).astype(bool)
+    out = []
+    for first in (True, False):
+        wanted = both & ((values % 2 == 0) == first)
+        place = np.where(wanted, np.cumsum(wanted) - 1, -1)[column]
+        total = np.zeros((len(x.tags), len(y.tags)), np.float32)
+        for start in range(0, int(wanted.sum()), COLUMNS):
+            here = (place >= start) & (place < start + COLUMNS)
+            matrix = np.zeros((len(x.tags) + len(y.tags), COLUMNS), np.float32)
+            matrix[owner[here], place[here] - start] = 1
+            total += matrix[: len(x.tags)] @ matrix[len(x.tags) :].T
+        out.append(total)
+    return [out[0] + out[1], out[0]]
+
+
+def unite(x: Block, y: Block | None, k: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the classes of two blocks (or of one) as all their links do; k: the sketch of the bucket.
+
+    Only pairs of two classes that share no sketch before k are looked at.
+    """
+    other = x if y is None else y
+    number: dict[bytes, int] = {}
+    rx, ry = (np.array([number.setdefault(r, len(number)) for r in s.root]) for s in (x, other))
+    open_ = rx[:, None] != ry[None, :]
+    if y is None:
+        open_ &= np.triu(np.ones(open_.shape, bool), 1)
+    for i in range(k):
+        open_ &= x.sketches[:, i][:, None] != other.sketches[:, i][None, :]
+    fit = np.zeros(open_.shape, bool)
+    for n, m in zip(x.sizes, other.sizes, strict=True):
+        fit |= np.minimum(n[:, None], m[None, :]) >= SIMILARITY * np.maximum(n[:, None], m[None, :])
+    open_ &= fit
+    if not open_.any():
+        return []
+    rows, columns = open_.any(axis=1), open_.any(axis=0)
+    a, b, open_ = x.some(rows), other.some(columns), open_[np.ix_(rows, columns)]
+    score = np.zeros(open_.shape)
+    for common, n, m in zip(shared(a, b), a.sizes, b.sizes, strict=True):
+        score = np.maximum(score, common / (n[:, None] + m[None, :] - common))
+    i, j = np.nonzero(open_ & (score >= SIMILARITY - 1e-6))
+    order = np.argsort(-score[i, j], kind="stable")
+    joined = list(range(len(number)))
+
+    def root(c: int) -> int:
+        while joined[c] != c:
+            joined[c] = c = joined[joined[c]]
+        return c
+
+    out = []
+    ca, cb = rx[rows], ry[columns]
+    for u, v in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = root(int(ca[u])), root(int(cb[v]))
+        if p != q and max(alike(a.tags[u], b.tags[v])) >= SIMILARITY:
+            joined[p] = q
+            out.append((a.tid[u], b.tid[v]))
     return out
 
 
-def candidates(x: Side, y: Side | None, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of two classes that may be similar, `most` of each class at least; True where others were left for later."""
-    other = x if y is None else y
-    scores = np.full((len(x.tid), len(other.tid)), -1.0)
-    for i in range(len(x.tid)):
-        differ = (other.root != x.root[i]).any(axis=1)
-        if y is None:
-            differ[: i + 1] = False
-        if differ.any():
-            scores[i] = np.where(differ, bounds(x, i, other), -1.0)
-    i, j = np.nonzero(scores >= 0)
-    if len(i) <= most:
-        return i, j, False
-    score = scores[i, j]
-    now = np.zeros(len(i), bool)
-    for side, at in ((x, i), (other, j)):
-        now |= places(np.unique(side.root, axis=0, return_inverse=True)[1].ravel()[at], score) < most
-    return i[now], j[now], not now.all()
-
-
-def _bound(most: int):
-    """Candidate pairs of blocks; a row of nulls where pairs were left for later."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a: list[bytes | None] = []
-            b: list[bytes | None] = []
-            for k in range(batch.num_rows):
-                x, other = Side(batch.column("x")[k].as_py()), batch.column("y")[k].as_py()
-                y = None if other is None else Side(other)
-                i, j, more = candidates(x, y, most)
-                a += [x.tid[n] for n in i.tolist()] + [None] * more
-                b += [(y or x).tid[n] for n in j.tolist()] + [None] * more
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return run
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for i in range(batch.num_rows):
+            other = batch.column("y")[i].as_py()
+            found += unite(Block(batch.column("x")[i].as_py()), None if other is None else Block(other), batch.column("k")[i].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,38 +268,38 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [i for i, t in enumerate(texts) if len(t)]
         values: list[list[int] | None] = [None] * len(texts)
         if some:
-            for i, v in zip(some, sketches([texts[i] for i in some]).view(np.int64).tolist(), strict=True):
+            for i, v in zip(some, sketches(tags([texts[i] for i in some])).view(np.int64).tolist(), strict=True):
                 values[i] = v
-        sets = [np.unique(t) for t in texts]
-        sizes = [pa.array([len(t) for t in x], pa.int64()) for x in (texts, sets)]
-        counted = [binned(t) for t in texts]
-        bins = [pa.array(x, pa.binary()) for x in (counted, [c if len(u) == len(t) else binned(u) for c, u, t in zip(counted, sets, texts, strict=True)])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(values, pa.list_(pa.int64())), *sizes, *bins], ["doc_id", "tid", "sketches", *MEASURES])
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(values, pa.list_(pa.int64())), sizes], ["doc_id", "tid", "sketches", "n"])
+
+
+def _tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in slices(batches, most=1 << 20):
+        found = tags([shingler.shingles(t) for t in batch.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([t.tobytes() for t in found], pa.binary())], ["tid", "tags"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links among candidate pairs."""
     shingler, held = Shingler(), OrderedDict()
 
     def of(tid: bytes, text: str) -> np.ndarray:
         if tid not in held:
-            held[tid] = shingler.shingles(text)
-            if len(held) > 64:
+            held[tid] = tags([shingler.shingles(text)])[0]
+            if len(held) > 16:
                 held.popitem(last=False)
         held.move_to_end(tid)
         return held[tid]
 
     for batch in slices(batches, "text_a", 1 << 20):
         a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-        both = [similarity(of(i, x), of(j, y)) for i, j, x, y in zip(a, b, ta, tb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x for x, _ in both], pa.float64()), pa.array([y for _, y in both], pa.float64())], ["a", "b", "in_order", "by_set"])
-
+        good = pa.array([max(alike(of(i, x), of(j, y))) >= SIMILARITY for i, j, x, y in zip(a, b, ta, tb, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
-def text_id(column: str):
-    """128 bits that stand for a whole text."""
-    return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")))
 
-
-def contract(links: DataFrame) -> DataFrame:
+def contract(links: DataFrame, work: Workspace) -> DataFrame:
     """(node, root) of the connected components of links (a, b): root is the least node.
 
     Large-star and small-star steps by turns, each a minimum of a node's
@@ -286,86 +311,62 @@ def contract(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where("u <> v").distinct(), "stars")
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = work.write(small.where("u <> v").distinct(), "stars")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, good) of candidate pairs (a, b)."""
-    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-    checked = map_arrow(pairs.join(left, "a").join(right, "b"), _check, "a binary, b binary, in_order double, by_set double")
-    return materialise(checked.select("a", "b", ((F.col("in_order") >= SIMILARITY) | (F.col("by_set") >= SIMILARITY)).alias("good")), "checked")
-
-
-def _open(rows: DataFrame, nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """(a, b) of the pairs of one bucket and two classes that may be similar, nulls where some are left; rows: (tid, bucket)."""
-    classed = rows.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "bucket", F.coalesce("root", "tid").alias("root"))
-    mixed_up = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    left = classed.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+def _open(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): links that join all that is alike in the buckets of more than one class; met: (tid, k, bucket)."""
+    classed = met.join(roots.withColumnRenamed("node", "tid").hint("merge"), "tid", "left").select("tid", "k", "bucket", F.coalesce("root", "tid").alias("root"))
+    classed = work.write(classed.join(nodes.hint("merge"), "tid"), "classed")
+    several = classed.groupBy("k", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("n")).where("low <> high")
+    several = several.select("k", "bucket", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    left = work.write(classed.join(several.hint("merge"), ["k", "bucket"]).drop("n"), "open")
+    named = map_arrow(texts.join(left.select("tid").distinct().hint("merge"), "tid", "left_semi"), _tags, "tid binary, tags binary")
     # Blocks are drawn by hash: no sort of a whole bucket, and none in one task.
-    left = left.withColumn("i", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).join(nodes.select("tid", *MEASURES), "tid")
-    blocks = left.groupBy("bucket", "i", "blocks").agg(F.collect_list(F.struct("tid", "root", *MEASURES)).alias("x"))
-    blocks = materialise(blocks, "blocks")
-    own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
-    later = blocks.where("i > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
-    both = blocks.where("i < blocks - 1").select("bucket", "i", "x").join(later, ["bucket", "i"]).select("x", "y")
-    pairs = map_arrow(own.unionAll(both), _bound(most), "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = left.withColumn("i", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).join(named.hint("merge"), "tid")
+    blocks = work.write(left.groupBy("k", "bucket", "i", "blocks").agg(F.collect_list(F.struct("tid", "root", "sketches", "tags")).alias("x")), "blocks")
+    own = blocks.select("k", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    later = blocks.where("i > 0").select("k", "bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
+    pairs = blocks.where("i < blocks - 1").select("k", "bucket", "i", "x").join(later.hint("merge"), ["k", "bucket", "i"]).select("k", "x", "y")
+    return map_arrow(own.unionAll(pairs).repartition("x"), _unite, "a binary, b binary")
 
 
-def _united(found: list[DataFrame]) -> DataFrame:
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionAll(x)
-    return contract(every.where("good"))
-
-
-def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
     """(node, root) of the classes of more than one text.
 
-    docs: (tid, text) rows; nodes: one (tid, sketches, measures) row for each text.
+    docs: (tid, text) rows; nodes: one (tid, sketches, n) row for each text.
     """
-    rows = nodes.where(F.col("sketches").isNotNull()).select("tid", F.explode("sketches").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialise(rows.join(shared, "bucket"), "buckets")
-    weight = rows.groupBy("tid").agg(F.sum("n").alias("w"))
-    texts = materialise(docs.join(weight.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
-    rows = rows.join(weight, "tid").select("tid", "bucket", "w")
-    hubs = rows.groupBy("bucket").agg(F.max(F.struct("w", "tid")).alias("hub")).select("bucket", F.col("hub.tid").alias("hub"))
-    met = materialise(rows.join(hubs, "bucket").where("tid <> hub").select("tid", "bucket", "hub"), "met")
-    pairs = met.select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
-    found = [_checked(pairs, texts)]
-    roots = _united(found)
-    # The hub's own pairs are done; any other pair of the bucket is in one class by now, or goes on.
-    most = 1
-    while True:
-        near = materialise(_open(met.select("tid", "bucket"), nodes, roots, most), "near")
-        pairs = near.where(F.col("a").isNotNull())
-        for tried in found:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        whole = near.where(F.col("a").isNull()).isEmpty()
-        if not (whole and pairs.isEmpty()):
-            found.append(_checked(pairs, texts))
-            roots = _united(found)
-        if whole:
-            return roots
-        most *= GROWTH
+    rows = nodes.select("tid", F.posexplode("sketches").alias("k", "bucket"))
+    hubs = rows.groupBy("k", "bucket").agg(F.min("tid").alias("hub"), F.max("tid").alias("last")).where("hub <> last").drop("last")
+    met = work.write(rows.join(hubs.hint("merge"), ["k", "bucket"]), "met")
+    texts = work.write(docs.join(met.select("tid").distinct().hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
+    # Joined with the hub's text last, so that rows come by hubs and their shingles are made once.
+    pairs = met.where("tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    pairs = pairs.join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    links = work.write(map_arrow(pairs, _check, "a binary, b binary"), "links")
+    roots = contract(links, work)
+    more = work.write(_open(met.drop("hub"), nodes, texts, roots, work), "more")
+    return roots if more.isEmpty() else contract(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), work)
 
 
 def _roots(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, tid, root) of each document: root is the same for all texts of a class."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), text_id(text_column).alias("tid"))
-    sketched = materialise(map_arrow(rows.select("doc_id", "tid", "text"), _sketch, "doc_id long, tid binary, sketches array<long>, n_all long, n_set long, bins_all binary, bins_set binary"), "sketches")
-    nodes = sketched.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("sketches", *MEASURES)])
-    roots = linked(rows.select("tid", "text"), nodes)
-    return materialise(sketched.select("doc_id", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root")), "roots")
+    work = Workspace(docs.sparkSession, "near")
+    rows = docs.select(dotted(id_column).alias("doc_id"), F.coalesce(dotted(text_column).cast("string"), F.lit("")).alias("text"), text_id(text_column).alias("tid"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sketched = work.write(map_arrow(rows.select("doc_id", "tid", "text"), _sketch, f"doc_id {kind}, tid binary, sketches array<long>, n long"), "sketches")
+    nodes = sketched.where(F.col("sketches").isNotNull()).groupBy("tid").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n"))
+    roots = linked(rows.select("tid", "text"), work.write(nodes, "nodes"), work)
+    named = sketched.select("doc_id", "tid").join(roots.withColumnRenamed("node", "tid").hint("merge"), "tid", "left")
+    return work.result(named.select("doc_id", "tid", F.coalesce("root", "tid").alias("root")))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -373,9 +374,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     named = _roots(docs, id_column, text_column)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("tid").alias("tid"))
     kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("kept_id"), F.col("lead.tid").alias("kept_tid"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), text_id(text_column).alias("tid"), F.col(id_column).cast("long").alias("doc_id"))
+    rows = docs.select(F.struct(*[dotted(c).alias(c) for c in docs.columns]).alias("doc"), text_id(text_column).alias("tid"), dotted(id_column).alias("doc_id"))
     on = F.col("tid").eqNullSafe(F.col("kept_tid")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept, on, "left_semi").dropDuplicates(["tid", "doc_id"]).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    one = rows.join(kept.hint("merge"), on, "left_semi").groupBy("tid", "doc_id").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
