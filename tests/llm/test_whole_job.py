@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewell.llm import language_id, near_dedup, secret_scan
+from tidewell.llm import language_id, near_dedup, secret_scan, suffix_dedup
 
 
 def edited(r: random.Random, words: list[str], name: str, edits: int = 3) -> str:
@@ -75,3 +75,39 @@ def test_short_texts_and_small_tables_are_rejected_too():
         own = [" ".join(r.choice(words) for _ in range(k)) for k in (1, 2, 3, 5, 9, 40) for _ in range(20)]
         assert model.predict([strange, strange * 3], language_id.symbol_table())[3].all()
         assert not model.predict(own, language_id.symbol_table())[3].any()
+
+
+def test_near_dedup_finds_the_links_of_brute_force(spark):
+    """At least nine in ten of all pairs of texts whose shingle sets share 0.8 are in one class, on edited copies of many lengths."""
+    r = random.Random(41)
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{r.randrange(400)}" for _ in range(r.choice((60, 150, 400, 900)))]
+        texts += [edited(r, words, f"g{g}c{c}", r.randrange(1, max(2, len(words) // 60))) for c in range(6)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs).collect()}
+    assert len(pairs) > 300 and sum(found[i] == found[j] for i, j in pairs) >= 0.9 * len(pairs)
+    # No class holds texts that no chain of links of the same rule joins.
+    for i, c in found.items():
+        assert i // 6 == c // 6
+
+
+def test_a_hot_anchor_is_found_however_its_copies_are_dealt(spark):
+    """A passage once in each of many partitions, each time with other words around it, is cut as brute force cuts it."""
+    from tests.llm.test_edges import brute_repeats, prose
+
+    passage = prose(77, 70)
+    texts = [prose(3000 + i, 12) + passage + prose(5000 + i, 12) for i in range(640)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(64)
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.spans(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(brute_repeats([t.encode() for t in texts]))
+
+
+def test_segments_of_one_hash_are_compared_in_bytes():
+    data = [b"one and other", b"one and three"]
+    segment = np.array([7, 7, 7, 7], np.uint64)
+    owner, first, last = np.array([0, 0, 1, 1]), np.array([0, 8, 0, 8]), np.array([3, 13, 3, 13])
+    where, many, lead = suffix_dedup.equal(data, owner, first, last, segment)
+    assert where[0] == where[2] and len(set(where.tolist())) == 3 and many.tolist() == [True, False, True, False] and lead.tolist() == [True, True, False, True]

@@ -92,6 +92,20 @@ def text_id(column: str):
     return F.unhex(F.sha2(F.coalesce(dotted(column).cast("string"), F.lit("")).cast("binary"), 256))
 
 
+class Table:
+    """Rows gathered by several writes."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema, self.n = spark, path, schema, 0
+
+    def add(self, df: DataFrame) -> None:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(f"{self.path}/part={self.n}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={k + 1}" for k in range(self.n)])
+
+
 class Workspace:
     """Intermediate tables of one call in a folder of their own, removed as soon as its result is written."""
 
@@ -105,6 +119,11 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def table(self, name: str, schema: str) -> Table:
+        """A table of this folder that rows are added to."""
+        self.n += 1
+        return Table(self.spark, f"{self.path}/{self.n:03}-{name}", schema)
+
     def result(self, df: DataFrame) -> DataFrame:
         """df written beside the folder, which then goes."""
         out = materialise(df, f"{self.name}-result")

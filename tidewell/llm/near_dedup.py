@@ -335,7 +335,7 @@ def _open(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame,
     own = blocks.select("k", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     later = blocks.where("i > 0").select("k", "bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
     pairs = blocks.where("i < blocks - 1").select("k", "bucket", "i", "x").join(later.hint("merge"), ["k", "bucket", "i"]).select("k", "x", "y")
-    return map_arrow(own.unionAll(pairs).repartition("x"), _unite, "a binary, b binary")
+    return map_arrow(own.unionAll(pairs), _unite, "a binary, b binary")
 
 
 def linked(docs: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:

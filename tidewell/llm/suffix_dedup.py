@@ -3,11 +3,13 @@
 Every byte covered by a string of LENGTH bytes that also starts elsewhere is
 found exactly, by merging Burrows-Wheeler transforms of shards.
 
-1. Strings of LENGTH bytes are dealt by content: the anchor of one is its 16-byte
-   piece of least hash, so equal strings have equal anchors at equal places.
+1. Strings of LENGTH bytes are dealt by content: the anchor of one is its PIECE
+   bytes of least hash, so equal strings have equal anchors at equal places.
    Neighbouring strings with one anchor form a segment of under 2 * LENGTH bytes.
-2. Equal segments are counted first (inside a task, then by Spark); all their
-   strings repeat. An anchor that only one segment has needs nothing more.
+2. Equal segments are counted first; all their strings repeat. Inside a task they
+   are compared byte by byte; between tasks two hashes of 64 bits, the anchor's and
+   the segment's, stand for the bytes. An anchor that only one segment has needs
+   nothing more.
 3. The different segments of one anchor are compared: tasks build the transform of
    each shard of segments, and merge the shards by interleave refinement. The
    interleave by the first symbol is refined round by round: a row's place by its
@@ -16,14 +18,15 @@ found exactly, by merging Burrows-Wheeler transforms of shards.
    shard are in order already, so a round merges runs and sorts nothing anew. After
    LENGTH symbols, rows of one place have a common prefix of LENGTH bytes: the
    repeated intervals.
-4. Anchors of very many segments are split before that: by halves of the anchor's
-   places, and by the bytes which all strings of a half share. Equal strings stay
-   together, and after eight splits only equal strings are.
+4. Anchors of more than HOT segments, counted over all tasks, are split before
+   that: by halves of the anchor's places, and by the bytes which all strings of a
+   half share. Equal strings stay together, and after eight splits only equal
+   strings are.
 
 Defined results: a null or empty text has no bytes; equal texts of LENGTH bytes or
 more are removed whole; repeated rows give repeated rows; a null doc_id stays
-null; an empty table gives an empty table; columns other than the id and the text
-are neither read nor returned by `spans`.
+null, and ids may be of any type; an empty table gives an empty table; columns
+other than the id and the text are neither read nor returned by `spans`.
 """
 
 from __future__ import annotations
@@ -37,15 +40,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tidewell.llm.common import map_arrow, materialise, slices, utf8
+from tidewell.llm.common import Workspace, dotted, map_arrow, slices, text_id, utf8
 
 LENGTH = 200
 PIECE = 64
 #: Segments of one anchor above which it is split; also a bound of a group in a task.
 HOT = 512
-#: An anchor goes past the first count where it has this share of all segments, so there are few.
-HOT_SHARE = 20_000
+#: Hot anchors that are broadcast, 8 bytes each; more of them are joined by a shuffle.
+HOT_BROADCAST = 500_000
 #: Segments that a task counts together, bytes of a shard, and bytes of a merged block.
 COUNTED, SHARD, BLOCK = 100_000, 32 << 10, 128 << 10
 #: Bytes of text that are handled at once; longer texts are cut with an overlap.
@@ -142,6 +146,27 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
             yield part, np.array([0]), np.array([len(part)]), np.array([row]), np.array([first - at[row]])
 
 
+def equal(data: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each segment, whether it has others, whether it stands for them): equal bytes, found by hash and compared.
+
+    A segment whose bytes are not those of its hash's first one gets another hash, in place.
+    """
+    while True:
+        _, where, count = np.unique(segment, return_inverse=True, return_counts=True)
+        order = np.argsort(where, kind="stable")
+        begins = np.concatenate(([True], where[order][1:] != where[order][:-1]))
+        lead = np.zeros(len(where), bool)
+        lead[order[begins]] = True
+        at = order[~begins]
+        to = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))[~begins]]
+        columns = [x.tolist() for x in (at, owner[at], first[at], last[at], owner[to], first[to], last[to])]
+        odd = [i for i, o, a, b, p, c, d in zip(*columns, strict=True) if data[o][a:b] != data[p][c:d]]
+        if not odd:
+            return where, count[where] > 1, lead
+        for i in odd:
+            segment[i] = xxhash.xxh64_intdigest(data[owner[i]][first[i] : last[i]], int(segment[i]))
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments; those that the task has more than once as known spans (anchor null) and one row."""
     powers = Powers()
@@ -151,11 +176,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         tids = pa.concat_arrays([h[0] for h in held]).cast(pa.binary())
         start, length, ahead, anchor, segment = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
-        _, where, count = np.unique(segment, return_inverse=True, return_counts=True)
-        many = count[where] > 1
-        order = np.argsort(where, kind="stable")
-        lead = np.zeros(len(where), bool)
-        lead[order[np.concatenate(([True], where[order][1:] != where[order][:-1]))]] = True
+        first, owner = np.concatenate([h[7] for h in held]), np.repeat(np.arange(len(held)), [len(h[7]) for h in held])
+        where, many, lead = equal([h[6] for h in held], owner, first, first + length, segment)
         one = np.flatnonzero(lead)
         known = np.flatnonzero(many)
         # Known spans of neighbouring segments of one text are put together.
@@ -191,7 +213,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             own = np.searchsorted(starts, first, "right") - 1
             tids = batch.column("tid").take(pa.array(rows[own]))
-            held.append((tids, first - starts[own] + place[own], length, ahead, anchor, segment))
+            held.append((tids, first - starts[own] + place[own], length, ahead, anchor, segment, data.tobytes(), first))
             size += len(first)
         if size >= COUNTED:
             yield flush()
@@ -200,14 +222,6 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that a task has often, with their number."""
-    for batch in batches:
-        values, count = np.unique(np.asarray(batch.column("anchor")), return_counts=True)
-        keep = count >= 4
-        yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(count[keep].astype(np.int64))], ["anchor", "n"])
-
-
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments asked for in each text."""
     expand = zstandard.ZstdDecompressor()
@@ -224,6 +238,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _BYTES = "key long, tid binary, start long, ahead int, twice boolean, bytes binary"
+_READY = "key long, tid binary, start long, twice boolean, bytes binary"
+_READY_NAMES = [c.split()[0] for c in _READY.split(", ")]
 _BYTE_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
 
@@ -408,62 +424,48 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def text_id(column: str):
-    """128 bits that stand for a whole text."""
-    return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")))
-
+def repeated_spans(texts: DataFrame, work: Workspace) -> DataFrame:
+    """(tid, start, len) of spans that repeat; they may overlap. texts: (tid, text), one row for each document.
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(tid, start, len) of spans that repeat; they may overlap. texts: (tid, text), one row for each document."""
-    spark = texts.sparkSession
-    found = materialise(map_arrow(texts.select("tid", "text"), _find, _SEGMENTS), "segments")
-    out = [found.where(F.col("anchor").isNull()).select("tid", "start", "len")]
+    What is known is added to two tables as it comes, spans and segments to be
+    merged, so that no plan grows with the number of splits.
+    """
+    found = work.write(map_arrow(texts.select("tid", "text"), _find, _SEGMENTS), "segments")
+    spans, ready = work.table("spans", "tid binary, start long, len int"), work.table("ready", _READY)
+    spans.add(found.where(F.col("anchor").isNull()).select("tid", "start", "len"))
     rows = found.where(F.col("anchor").isNotNull())
-    total = rows.count()
-    counts = map_arrow(rows.select("anchor"), _often, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    # At most HOT_SHARE anchors can pass this bound, so the list is small for any input.
-    hot = F.broadcast(spark.createDataFrame([(r["anchor"],) for r in counts.where(F.col("n") >= max(HOT, total // HOT_SHARE)).collect()], "anchor long"))
+    hot = work.write(rows.groupBy("anchor").count().where(F.col("count") >= HOT).select("anchor"), "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot.hint("merge")
     even = rows.join(hot, "anchor", "left_anti").repartition("anchor")
     same = Window.partitionBy("anchor", "segment")
     even = even.withColumn("repeats", F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(same) > 1).withColumn("lead", F.row_number().over(same.orderBy("segment")) == 1)
     even = even.withColumn("kinds", F.sum(F.col("lead").cast("int")).over(Window.partitionBy("anchor")))
     even = even.where("repeats OR kinds > 1").select("tid", "start", "len", "ahead", "anchor", "repeats", (F.col("lead") & (F.col("kinds") > 1)).alias("compare"))
-    even = materialise(even.where("repeats OR compare"), "counted")
-    out.append(even.where("repeats").select("tid", "start", "len"))
+    even = work.write(even.where("repeats OR compare"), "counted")
+    spans.add(even.where("repeats").select("tid", "start", "len"))
     ask = even.where("compare").select("tid", "start", "len", "ahead", "anchor", F.col("repeats").alias("twice"))
     ask = ask.unionAll(rows.join(hot, "anchor", "left_semi").select("tid", "start", "len", "ahead", "anchor", "twice"))
     wanted = ask.groupBy("tid").agg(F.collect_list(F.struct("start", "len", "ahead", "anchor", "twice")).alias("wanted"))
     packed = map_arrow(texts.select("tid", "text"), _pack, "tid binary, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"))
-    compared = materialise(map_arrow(packed.join(wanted, "tid").select("tid", "packed", "wanted"), _fetch, _BYTES), "bytes")
-    ready = []
-    size = 128
-    while True:
-        n = compared.groupBy("key").count().where(F.col("count") > HOT).select("key")
-        hot_keys = materialise(n, "hot-keys")
-        if size < 1 or not hot_keys.take(1):
-            ready.append(compared)
+    compared = work.write(map_arrow(packed.join(wanted.hint("merge"), "tid").select("tid", "packed", "wanted"), _fetch, _BYTES), "bytes")
+    size, place = 128, F.struct("tid", "start")
+    while size:
+        hot_keys = work.write(compared.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
+        if hot_keys.isEmpty():
             break
-        ready.append(compared.join(hot_keys, "key", "left_anti"))
-        cut = map_arrow(compared.join(hot_keys, "key", "left_semi").select(*[c.split()[0] for c in _BYTES.split(", ")]), _halves(size), _BYTES).withColumn("segment", F.xxhash64("bytes"))
-        cut = materialise(cut, "cut")
-        place = F.struct("tid", "start")
-        equal = cut.groupBy("key", "segment").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("repeats"), F.min(place).alias("lead"))
-        both = cut.join(equal, ["key", "segment"])
-        out.append(both.where("repeats").select("tid", "start", F.length("bytes").alias("len")))
+        ready.add(compared.join(hot_keys.hint("merge"), "key", "left_anti").select(*_READY_NAMES))
+        split = compared.join(hot_keys.hint("merge"), "key", "left_semi").select(*[c.split()[0] for c in _BYTES.split(", ")])
+        cut = work.write(map_arrow(split, _halves(size), _BYTES).withColumn("segment", F.xxhash64("bytes")), "cut")
+        same_bytes = cut.groupBy("key", "segment").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("repeats"), F.min(place).alias("lead"))
+        both = work.write(cut.join(same_bytes.hint("merge"), ["key", "segment"]), "both")
+        spans.add(both.where("repeats").select("tid", "start", F.length("bytes").alias("len")))
         leads = both.where(F.col("lead") == place).select("key", "tid", "start", "ahead", F.col("repeats").alias("twice"), "bytes")
         several = leads.groupBy("key").count().where("count > 1").select("key")
-        compared = materialise(leads.join(several, "key", "left_semi"), "halves")
+        compared = work.write(leads.join(several.hint("merge"), "key", "left_semi"), "halves")
         size //= 2
-    columns = ["key", "tid", "start", "twice", "bytes"]
-    parts = ready[0].select(*columns)
-    for part in ready[1:]:
-        parts = parts.unionAll(part.select(*columns))
-    near = parts.repartition("key").sortWithinPartitions("key")
-    out.append(map_arrow(near, _merge, "tid binary, start long, len int"))
-    spans = out[0]
-    for x in out[1:]:
-        spans = spans.unionAll(x)
-    return spans
+    ready.add(compared.select(*_READY_NAMES))
+    spans.add(map_arrow(ready.rows().repartition("key").sortWithinPartitions("key"), _merge, "tid binary, start long, len int"))
+    return spans.rows()
 
 
 def cut_out(data: bytes, spans: list) -> tuple[bytes, list[tuple[int, int]]]:
@@ -519,24 +521,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.string())], [*names, "__text"])
 
 
-def _with_spans(rows: DataFrame) -> DataFrame:
-    """rows (with tid and text) with the text packed and its spans."""
-    spans = repeated_spans(rows)
+def _with_spans(rows: DataFrame, run, schema) -> DataFrame:
+    """What `run` gives for rows (with tid and text) with the text packed and its spans."""
+    work = Workspace(rows.sparkSession, "repeats")
+    spans = repeated_spans(rows, work)
     by_text = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return map_arrow(rows, _pack, f"{kinds}, packed binary").join(by_text, "tid", "left")
+    kinds = StructType([*[f for f in rows.schema if f.name != "text"], StructField("packed", BinaryType())])
+    return work.result(map_arrow(map_arrow(rows, _pack, kinds).join(by_text.hint("merge"), "tid", "left").drop("tid"), run, schema))
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_id(text_column).alias("tid"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(_with_spans(rows).select("doc_id", "packed", "spans"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(dotted(id_column).alias("doc_id"), text_id(text_column).alias("tid"), dotted(text_column).cast("string").alias("text"))
+    return _with_spans(rows, _digest, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The documents without the repeated bytes; all columns stay, in their order. A null text becomes empty."""
-    others = [c for c in docs.columns if c != text_column]
-    rows = docs.select(F.struct(*others).alias("others"), text_id(text_column).alias("tid"), F.col(text_column).cast("string").alias("text"))
-    inner = docs.select(*others).schema.simpleString()
-    cut = map_arrow(_with_spans(rows).select("others", "packed", "spans"), _texts, f"others {inner}, __text string")
-    return cut.select(*[F.col("__text").alias(text_column) if c == text_column else F.col(f"others.`{c}`") for c in docs.columns])
+    others = [dotted(c).alias(c) for c in docs.columns if c != text_column]
+    whole = F.struct(*others) if others else F.lit(None).cast("boolean")
+    rows = docs.select(whole.alias("others"), text_id(text_column).alias("tid"), dotted(text_column).cast("string").alias("text"))
+    cut = _with_spans(rows, _texts, StructType([rows.schema["others"], StructField("__text", StringType())]))
+    return cut.select(*[F.col("__text").alias(c) if c == text_column else F.col("others").getField(c).alias(c) for c in docs.columns])
