@@ -111,3 +111,19 @@ def test_segments_of_one_hash_are_compared_in_bytes():
     owner, first, last = np.array([0, 0, 1, 1]), np.array([0, 8, 0, 8]), np.array([3, 13, 3, 13])
     where, many, lead = suffix_dedup.equal(data, owner, first, last, segment)
     assert where[0] == where[2] and len(set(where.tolist())) == 3 and many.tolist() == [True, False, True, False] and lead.tolist() == [True, True, False, True]
+
+
+def test_secret_scan_precision_and_recall(spark):
+    """Planted keys that no base pattern names, against names, paths, hyphened words and ruled lines."""
+    r = random.Random(31)
+    letters = secret_scan.ALPHABET[:62]
+    key = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    uuid = lambda: "-".join(key(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12))
+    words = [w for w in secret_scan.WORDS if r.random() < 0.5]
+    some = lambda: r.sample(words, r.randint(3, 6))
+    secrets = [key(r.choice((20, 24, 32, 40, 64)), letters) if i % 4 else key(43, letters + "-_") if i % 8 else uuid() for i in range(400)]
+    plain = ["_".join(some()) if i % 5 == 0 else "-".join(some()) if i % 5 == 1 else "/".join(some()) if i % 5 == 2 else "".join(w.title() for w in some()) if i % 5 == 3 else r.choice("-=_xA0") * r.randint(20, 90) for i in range(400)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secrets + plain)], "doc_id long, text string")
+    found = {x["doc_id"]: x["n_markov"] for x in secret_scan.scan(docs, secret_scan.train(secret_scan.default_samples(spark))).collect()}
+    hits, wrong = sum(found[i] > 0 for i in range(400)), sum(found[i] > 0 for i in range(400, 800))
+    assert hits >= 0.95 * 400 and wrong <= 0.02 * 400, (hits, wrong)

@@ -152,7 +152,7 @@ def filesystem(uri: str):
 
 def crc32_of_id(column: str = "doc_id"):
     """crc32 of the id as text; null ids count as empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+    return F.crc32(F.coalesce(dotted(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def is_held_out(column: str = "doc_id"):

@@ -14,8 +14,8 @@ of the smallest hash of the id, whole texts. The languages are few, so the sampl
 and the tables fit the driver and are sent to the tasks.
 
 Defined results: a null text or one without a letter is `und` with score 0;
-repeated rows give repeated rows; a null doc_id stays null and counts as empty
-text in the hold-out rule; an empty table gives an empty table, and with nothing
+repeated rows give repeated rows; ids may be of any type, a null one stays null and
+counts as empty text in the hold-out rule; an empty table gives an empty table, and with nothing
 to learn from every row is `und`; columns other than the id, text and language
 are neither read nor returned.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import is_held_out, map_arrow, ship, slices
+from tidewell.llm.common import dotted, is_held_out, map_arrow, ship, slices
 
 #: Documents of each language that are read for training, and the share of them kept for the bound.
 TRAIN_DOCS = 500
@@ -40,9 +40,11 @@ ORDER = 4
 LEAST_SYMBOLS = 40
 #: Nats above the largest entropy of the kept documents from which a text is rejected.
 MARGIN = 1.0
+#: Characters of a text that are handled at once; a longer text is summed over pieces, each with its context before it.
+PIECE = 1 << 18
 _GAP = "\n" * ORDER
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_OUT = "doc_id long, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
+_OUT = "held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
 
 
 def symbol_table() -> np.ndarray:
@@ -172,8 +174,35 @@ class Models:
 
     def entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(mean nats a symbol in each language, symbols, letters) of each text."""
+        if sum(map(len, texts)) <= PIECE:
+            nats, n, letters = self._sums(texts, [0] * len(texts), table)
+        else:
+            nats, n, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for owners, parts, leads in self._pieces(texts):
+                for total, more in zip((nats, n, letters), self._sums(parts, leads, table), strict=True):
+                    np.add.at(total, owners, more)
+        return nats / np.maximum(n, 1)[:, None], n, letters
+
+    def _pieces(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+        """(text, piece, characters of it that are context only), PIECE characters or a little more at a time."""
+        owners, parts, leads, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            low = t.lower() if len(t) > PIECE else t
+            for at in range(0, max(1, len(low)), PIECE):
+                leads.append(min(at, self.order - 1))
+                parts.append(low[at - leads[-1] : at + PIECE])
+                owners.append(i)
+                size += len(parts[-1])
+                if size >= PIECE:
+                    yield owners, parts, leads
+                    owners, parts, leads, size = [], [], [], 0
+        if owners:
+            yield owners, parts, leads
+
+    def _sums(self, texts: list[str], leads: list[int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats in each language, symbols, letters) of each text after its first `leads` characters."""
         sym, ends = symbols(texts, table)
-        starts = np.concatenate(([0], ends[:-1])) + len(_GAP)
+        starts = np.concatenate(([0], ends[:-1])) + len(_GAP) + np.asarray(leads, np.int64)
         logs = self.logs(sym)
         edges = np.empty(2 * len(texts), np.int64)
         edges[::2], edges[1::2] = starts, ends
@@ -184,7 +213,7 @@ class Models:
         sums[n == 0] = 0
         letters = np.add.reduceat(np.append(sym != 0, False).astype(np.int64), np.stack([starts, ends], 1).ravel())[::2]
         letters[n == 0] = 0
-        return -sums / np.maximum(n, 1)[:, None], n, letters
+        return -sums, n, letters
 
 
 class Identifier:
@@ -230,7 +259,7 @@ def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, id_column: str = "do
     A first pass counts, so that the second keeps little more than is wanted
     before it ranks.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    rows = docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"), dotted(lang_column).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -265,8 +294,8 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """Language, score and rejection of each document; learns from docs itself."""
     texts = sample(docs, id_column=id_column, text_column=text_column, lang_column=lang_column)
     shared = docs.sparkSession.sparkContext.broadcast(Identifier(texts) if texts else None)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), is_held_out(id_column).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return map_arrow(rows, _predict(shared), _OUT)
+    rows = docs.select(dotted(id_column).alias("doc_id"), is_held_out(id_column).alias("held_out"), dotted(text_column).cast("string").alias("text"))
+    return map_arrow(rows, _predict(shared), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_OUT}")
 
 
 def accepted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -287,4 +316,4 @@ def accepted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
 
     flag = F.arrow_udf(keep, "boolean", F.ArrowUDFType.SCALAR_ITER)
-    return docs.where(flag(F.col(text_column).cast("string")))
+    return docs.where(flag(dotted(text_column).cast("string")))

@@ -10,8 +10,8 @@ Means and covariances are sums over all learnable labelled documents, made by
 Spark; only one number for each class and pair of statistics reaches the driver.
 
 Defined results: a null or empty text has the statistics of an empty text and a
-score like any other; repeated rows give repeated rows; a null doc_id stays null,
-matches no label and counts as empty text in the hold-out rule; an empty table
+score like any other; repeated rows give repeated rows; ids may be of any type, a
+null one stays null, matches no label and counts as empty text in the hold-out rule; an empty table
 gives an empty table; without both classes among the labels every score is 0.5;
 columns other than those named are neither read nor returned.
 """
@@ -19,6 +19,7 @@ columns other than those named are neither read nor returned.
 from __future__ import annotations
 
 import operator
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import is_held_out, map_arrow, materialise, slices, utf8
+from tidewell.llm.common import dotted, is_held_out, map_arrow, materialise, slices, utf8
 
 STATISTICS = ("log_chars", "word_length", "letters", "capitals", "digits", "marks", "shouts", "stops", "lines", "distinct", "adjacent", "top_word", "short_words", "line_repeats", "longest", "entropy")
 #: Shrinkage towards the pooled covariance, and towards the identity.
@@ -37,6 +38,8 @@ CUT = 0.7
 #: Log-density differences are divided by this before the logistic function: statistics are not independent.
 TEMPERATURE = 4.0
 _D = len(STATISTICS)
+#: Bytes or characters of a text that are handled at once.
+CHUNK = 1 << 20
 
 # Classes of bytes: continuation, small, capital, digit, stop, shout, line end, blank, other mark, lead of a wide letter.
 _CLASS = np.full(256, 8, np.int64)
@@ -58,8 +61,12 @@ def statistics(batch: pa.RecordBatch) -> np.ndarray:
     """The transformed statistics of each text of a batch."""
     data, at = utf8(batch)
     n = batch.num_rows
-    row = np.repeat(np.arange(n), np.diff(at))
-    by_class = np.bincount(row * 10 + _CLASS[data], minlength=n * 10).reshape(n, 10).astype(float)
+    by_class = np.zeros(n * 10)
+    for low in range(0, len(data), CHUNK):
+        part = data[low : low + CHUNK]
+        row = np.searchsorted(at, np.arange(low, low + len(part)), "right") - 1 if n > 1 else 0
+        by_class += np.bincount(row * 10 + _CLASS[part], minlength=n * 10)
+    by_class = by_class.reshape(n, 10)
     chars = by_class.sum(axis=1) - by_class[:, 0]
     some = np.maximum(chars, 1)
     letters = by_class[:, 1] + by_class[:, 2] + by_class[:, 9]
@@ -74,24 +81,56 @@ def statistics(batch: pa.RecordBatch) -> np.ndarray:
     out[:, 7] = rate(by_class[:, 4] / some)
     out[:, 8] = rate(by_class[:, 6] / some)
     for k, text in enumerate(batch.column("text").to_pylist()):
-        words = (text or "").split()
-        m = len(words)
-        if not m:
+        if text and not text.isspace():
+            out[k, [1, 9, 10, 11, 12, 13, 14, 15]] = _words(text) if len(text) <= CHUNK else _words_of_long(text)
+    return out
+
+
+def _rate(x: float) -> float:
+    return float(np.log(x + 0.002))
+
+
+def _word_statistics(m: int, total: int, longest: int, short: int, adjacent: int, frequent: np.ndarray, lines: int, kinds: int) -> list[float]:
+    share = frequent / m
+    return [np.log(total / m), np.log((len(frequent) + 1) / (m + 1)) / np.log(m + 2), _rate(adjacent / m), _rate(frequent.max() / m), short / m, _rate(1 - kinds / lines), np.log(longest), -(share * np.log(share)).sum() / np.log(m + 1)]
+
+
+def _words(text: str) -> list[float]:
+    """The statistics of words and lines, of a text that has a word."""
+    words = text.split()
+    counts, lengths, lines = Counter(words), list(map(len, words)), text.split("\n")
+    frequent = np.fromiter(counts.values(), float, len(counts))
+    return _word_statistics(len(words), sum(lengths), max(lengths), sum(x < 4 for x in lengths), sum(map(operator.eq, words[1:], words)), frequent, len(lines), len(set(lines)))
+
+
+def _chunks(text: str, blank: re.Pattern) -> Iterator[str]:
+    """A text in pieces of CHUNK characters or a little more, cut at a blank; the blanks at the cuts are left out."""
+    at = 0
+    while at <= len(text):
+        cut = blank.search(text, at + CHUNK)
+        yield text[at : cut.start()] if cut else text[at:]
+        at = cut.end() if cut else len(text) + 1
+
+
+def _words_of_long(text: str) -> list[float]:
+    """The same for a long text, in pieces: words and lines are counted by 64-bit hashes."""
+    m = total = longest = short = adjacent = 0
+    last, words_seen, lines_seen = None, [], []
+    for part in _chunks(text, re.compile(r"\s")):
+        words = part.split()
+        if not words:
             continue
-        counts = Counter(words)
         lengths = list(map(len, words))
-        lines = text.split("\n")
-        frequent = np.fromiter(counts.values(), float, len(counts))
-        out[k, 1] = np.log(sum(lengths) / m)
-        out[k, 9] = np.log((len(counts) + 1) / (m + 1)) / np.log(m + 2)
-        out[k, 10] = rate(sum(map(operator.eq, words[1:], words)) / m)
-        out[k, 11] = rate(frequent.max() / m)
-        out[k, 12] = sum(x < 4 for x in lengths) / m
-        out[k, 13] = rate(1 - len(set(lines)) / len(lines))
-        out[k, 14] = np.log(max(lengths))
-        share = frequent / m
-        out[k, 15] = -(share * np.log(share)).sum() / np.log(m + 1)
-    return out
+        m, total, longest, short = m + len(words), total + sum(lengths), max(longest, *lengths), short + sum(x < 4 for x in lengths)
+        adjacent += sum(map(operator.eq, words[1:], words)) + (words[0] == last)
+        last = words[-1]
+        words_seen.append(np.fromiter(map(hash, words), np.int64, len(words)))
+    for part in _chunks(text, re.compile("\n")):
+        lines = part.split("\n")
+        lines_seen.append(np.fromiter(map(hash, lines), np.int64, len(lines)))
+    every = np.concatenate(lines_seen)
+    frequent = np.unique(np.concatenate(words_seen), return_counts=True)[1].astype(float)
+    return _word_statistics(m, total, longest, short, adjacent, frequent, len(every), len(np.unique(every)))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +198,14 @@ def _score(shared):
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
     """Score and prediction of each document; learns from labels outside the hold-out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    stored = materialise(map_arrow(rows, _statistics, "doc_id long, x array<double>"), "statistics")
-    known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~is_held_out())
+    rows = docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    stored = materialise(map_arrow(rows, _statistics, f"doc_id {kind}, x array<double>"), "statistics")
+    known = labels.select(dotted(id_column).cast(kind).alias("doc_id"), dotted(label_column).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~is_held_out())
     learn = stored.join(known, "doc_id").select("label", "x")
     sums = np.zeros((2, 1 + _D + _D * _D))
     for r in map_arrow(learn, _moments, "label long, i long, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect():
         sums[r["label"], r["i"]] = r["v"]
     shared = spark.sparkContext.broadcast(Discriminant(sums) if sums[:, 0].min() > 1 else None)
     scored = stored.select("doc_id", is_held_out().alias("held_out"), "x")
-    return map_arrow(scored, _score(shared), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(scored, _score(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")

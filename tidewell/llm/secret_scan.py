@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import dotted, text_id
+
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -32,8 +34,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Characters of the models; a candidate is a run of at least LEAST_RUN of them.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
-RUN = r"[A-Za-z0-9+/_=]{%d,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+RUN = r"[A-Za-z0-9+/_=-]{%d,}"
 LEAST_RUN = 20
 #: Mean log-likelihood ratio a transition, in thousandths of a nat, from which a stretch of LEAST_RUN characters or more counts as random.
 THRESHOLD = 350
@@ -59,8 +61,10 @@ WORDS = (
 def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     """n labelled samples of either kind: (sample string, is_random boolean).
 
-    Random strings are base-64 and base-16 digests of counters; identifiers are
-    two to four words in snake case, camel case, one run, or capitals.
+    Random strings are base-64 digests of counters, with either pair of marks,
+    base-16 ones, and those in groups of 8, 4, 4, 4 and 12; ordinary strings are two
+    to four words in snake case, camel case, one run, capitals, with hyphens, as a
+    path, or before a number, and ruled lines of one character.
     """
     words = F.array(*[F.lit(w) for w in WORDS])
     i = F.col("id")
@@ -69,16 +73,23 @@ def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
         return F.element_at(words, (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(WORDS))) + 1).cast("int"))
 
     chosen = F.slice(F.array(*[word(s) for s in range(4)]), F.lit(1), (F.pmod(i, F.lit(3)) + 2).cast("int"))
-    style = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(5))
+    style = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(8))
+    drawn = F.substring(F.lit(ALPHABET), (F.pmod(i, F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1))
     name = (
         F.when(style == 0, F.array_join(chosen, "_"))
         .when(style == 1, F.array_join(F.transform(chosen, lambda w: F.initcap(w)), ""))
         .when(style == 2, F.array_join(chosen, ""))
         .when(style == 3, F.upper(F.array_join(chosen, "_")))
+        .when(style == 4, F.array_join(chosen, "-"))
+        .when(style == 5, F.concat(F.lit("/"), F.array_join(chosen, "/")))
+        .when(style == 6, F.repeat(drawn, F.lit(40)))
         .otherwise(F.concat(F.array_join(chosen, "_"), F.lit("_"), F.pmod(i, F.lit(100)).cast("string")))
     )
     digest = F.sha2(F.concat(F.lit("sample "), i.cast("string")), 512)
-    random = F.when(F.pmod(i, F.lit(6)) == 0, F.substring(digest, 1, 40)).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40))
+    base64 = F.substring(F.base64(F.unhex(digest)), 1, 40)
+    groups = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    kind = F.pmod(i, F.lit(6))
+    random = F.when(kind == 0, F.substring(digest, 1, 40)).when(kind == 1, groups).when(kind == 2, F.translate(base64, "+/", "-_")).otherwise(base64)
     rows = spark.range(n)
     return rows.select(name.alias("sample"), F.lit(False).alias("is_random")).unionAll(rows.select(random.alias("sample"), F.lit(True).alias("is_random")))
 
@@ -160,13 +171,13 @@ def spans(docs: DataFrame, table: Sequence[int], id_column: str = "doc_id", text
     leave the scan: only lengths of matches and of the gaps between them are
     dealt out, and the running sum of both gives the positions.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    text = F.coalesce(dotted(text_column).cast("string"), F.lit(""))
     run = RUN % LEAST_RUN
     if_any = {
         "assign": text.rlike(ASSIGN),
         "access": text.contains("AKIA"),
         "hex": text.rlike("[0-9a-f]{%d}" % LEAST["hex"]),
-        "markov": text.rlike("[A-Za-z0-9+/_=]{%d}" % LEAST_RUN),
+        "markov": text.rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST_RUN),
     }
     # Runs are as long as they can be, so a least length in these patterns drops the same matches.
     patterns = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{%d,}" % (LEAST["access"] - 4), "hex": r"[0-9a-f]{%d,}" % LEAST["hex"], "markov": run}
@@ -179,7 +190,7 @@ def spans(docs: DataFrame, table: Sequence[int], id_column: str = "doc_id", text
         rows = F.transform(F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g")), _lengths(k, kind == "markov"))
         found.append(F.when(if_any[kind], rows.cast(found_type)).otherwise(F.array().cast(found_type)))
     none = F.array(F.struct(*[F.lit(None).cast("string" if c == "run" else "int").alias(c) for c in ("kind", "n", "gap", "len", "value_len", "run")])).cast(found_type)
-    numbered = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.concat(none, *found).alias("found"))
+    numbered = docs.select(dotted(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), F.concat(none, *found).alias("found"))
     rows = numbered.select("id", "row", F.explode("found").alias("s")).select("id", "row", "s.*")
     least = F.when(F.col("kind") == 0, F.col("value_len") >= LEAST["assign"]).when(F.col("kind") == 3, best(F.col("run"), table, threshold) >= 0).otherwise(F.lit(True))
     rows = rows.withColumn("good", least).drop("run", "value_len").repartition("row")
@@ -222,12 +233,13 @@ def scan(docs: DataFrame, table: Sequence[int], id_column: str = "doc_id", text_
 def redact(docs: DataFrame, table: Sequence[int], mark: str = "[SECRET]", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with each span replaced by a mark; overlapping spans become one mark.
 
-    All columns stay, in their order. Rows are matched by number over a table
-    that is read twice, so docs must be a stored table.
+    All columns stay, in their order. Spans follow from the text alone, so rows
+    meet them by the text's digest, and rows of one text get the same spans.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    found = gathered(spans(docs, table, id_column, text_column)).where(F.size("found") > 0).select("row", "found")
-    text = F.coalesce(F.col(f"doc.`{text_column}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[dotted(c).alias(c) for c in docs.columns]).alias("doc"), text_id(text_column).alias("tid"))
+    named = docs.select(text_id(text_column).alias("tid"), dotted(text_column).alias("text"))
+    found = gathered(spans(named, table, "tid", "text")).where(F.size("found") > 0).groupBy(F.col("id").alias("tid")).agg(F.min("found").alias("found"))
+    text = F.coalesce(F.col("doc").getField(text_column).cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -235,6 +247,6 @@ def redact(docs: DataFrame, table: Sequence[int], mark: str = "[SECRET]", id_col
         return F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     new = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    out = rows.join(found, "row", "left").withColumn("new", F.when(F.col("found").isNotNull(), new))
-    same = lambda c: F.col(f"doc.`{c}`")
+    out = rows.join(found, "tid", "left").withColumn("new", F.when(F.col("found").isNotNull(), new))
+    same = lambda c: F.col("doc").getField(c)
     return out.select(*[F.coalesce("new", same(c)).alias(c) if c == text_column else same(c).alias(c) for c in docs.columns])
