@@ -4,6 +4,13 @@ language: documents whose language is not recognised go. near: one document of
 each near-duplicate group stays. repeats: passages of 200 bytes that occur twice
 are cut. secrets: secrets are replaced by a mark. packing: the rest becomes
 sequences of 2048 tokens.
+
+Defined results: a null text or one without a letter is of no language and goes;
+repeated rows count once from the second stage on; rows of equal texts and
+different ids are one group; a text that is cut to nothing stays, empty, and packs
+to its end id; columns beside doc_id, text and lang pass through, n_chars is set
+anew where it exists; an empty table gives empty stages, and a table without a
+learnable language keeps all its documents in the first.
 """
 
 from __future__ import annotations
@@ -18,6 +25,13 @@ from tidewell.llm.common import documents, shared_dir
 from tidewell.llm.tokenise import public_file
 
 
+def counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents of changed texts with their number of characters set anew, where docs have that column."""
+    if "n_chars" not in docs.columns:
+        return changed
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject."""
     return language_id.accepted(docs)
@@ -30,13 +44,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat."""
-    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(suffix_dedup.remove(docs), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret replaced by a mark."""
-    clean = secret_scan.redact(docs, secret_scan.train(secret_scan.default_samples(spark)))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(secret_scan.redact(docs, secret_scan.train(secret_scan.default_samples(spark))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
