@@ -88,8 +88,8 @@ def dotted(column: str):
 
 
 def text_id(column: str):
-    """A digest that stands for a whole text; null is empty."""
-    return F.unhex(F.sha2(F.coalesce(dotted(column).cast("string"), F.lit("")).cast("binary"), 256))
+    """128 bits of a digest that no two texts are known to share; null is empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(dotted(column).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
 
 
 class Table:

@@ -25,7 +25,7 @@ with their exact copies; repeated rows get the same class; class_id is the
 smallest id of the class, null where all are null; ids of any type that can be
 ordered; an empty table gives an empty table; columns other than the id and the
 text are neither read nor returned. Of rows with one id and one text `keep_one`
-keeps the one whose JSON is least.
+keeps the one whose columns have the least hash.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def tags(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def sketches(texts: list[np.ndarray]) -> np.ndarray:
-    """(texts, SKETCHES) sketch values; texts: labelled shingles of at least one each."""
+    """(texts, SKETCHES) sketch values, the sketch's number in the lowest bits; texts: labelled shingles of at least one each."""
     n = np.array([len(t) for t in texts])
     first = np.concatenate(([0], np.cumsum(n)[:-1]))
     row = np.repeat(np.arange(len(texts)), n)
@@ -124,7 +124,7 @@ def sketches(texts: list[np.ndarray]) -> np.ndarray:
         value = np.full(len(texts), (i + 1) * int(_ODD) % (1 << 64), np.uint64)
         for at in np.sort(np.stack(places), axis=0):
             value = mixed(value + every[at])
-        out[:, i] = value
+        out[:, i] = value // np.uint64(SKETCHES) * np.uint64(SKETCHES) + np.uint64(i)
     return out
 
 
@@ -257,7 +257,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[bytes, bytes]] = []
         for i in range(batch.num_rows):
             other = batch.column("y")[i].as_py()
-            found += unite(Block(batch.column("x")[i].as_py()), None if other is None else Block(other), batch.column("k")[i].as_py())
+            found += unite(Block(batch.column("x")[i].as_py()), None if other is None else Block(other), batch.column("bucket")[i].as_py() % SKETCHES)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
@@ -322,19 +322,19 @@ def contract(links: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _open(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): links that join all that is alike in the buckets of more than one class; met: (tid, k, bucket)."""
-    classed = met.join(roots.withColumnRenamed("node", "tid").hint("merge"), "tid", "left").select("tid", "k", "bucket", F.coalesce("root", "tid").alias("root"))
+    """(a, b): links that join all that is alike in the buckets of more than one class; met: (tid, bucket)."""
+    classed = met.join(roots.withColumnRenamed("node", "tid").hint("merge"), "tid", "left").select("tid", "bucket", F.coalesce("root", "tid").alias("root"))
     classed = work.write(classed.join(nodes.hint("merge"), "tid"), "classed")
-    several = classed.groupBy("k", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("n")).where("low <> high")
-    several = several.select("k", "bucket", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    left = work.write(classed.join(several.hint("merge"), ["k", "bucket"]).drop("n"), "open")
+    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("n")).where("low <> high")
+    several = several.select("bucket", F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    left = work.write(classed.join(several.hint("merge"), "bucket").drop("n"), "open")
     named = map_arrow(texts.join(left.select("tid").distinct().hint("merge"), "tid", "left_semi"), _tags, "tid binary, tags binary")
     # Blocks are drawn by hash: no sort of a whole bucket, and none in one task.
     left = left.withColumn("i", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).join(named.hint("merge"), "tid")
-    blocks = work.write(left.groupBy("k", "bucket", "i", "blocks").agg(F.collect_list(F.struct("tid", "root", "sketches", "tags")).alias("x")), "blocks")
-    own = blocks.select("k", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
-    later = blocks.where("i > 0").select("k", "bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
-    pairs = blocks.where("i < blocks - 1").select("k", "bucket", "i", "x").join(later.hint("merge"), ["k", "bucket", "i"]).select("k", "x", "y")
+    blocks = work.write(left.groupBy("bucket", "i", "blocks").agg(F.collect_list(F.struct("tid", "root", "sketches", "tags")).alias("x")), "blocks")
+    own = blocks.select("bucket", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+    later = blocks.where("i > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("i"), F.col("x").alias("y"))
+    pairs = blocks.where("i < blocks - 1").select("bucket", "i", "x").join(later.hint("merge"), ["bucket", "i"]).select("bucket", "x", "y")
     return map_arrow(own.unionAll(pairs), _unite, "a binary, b binary")
 
 
@@ -343,9 +343,11 @@ def linked(docs: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
 
     docs: (tid, text) rows; nodes: one (tid, sketches, n) row for each text.
     """
-    rows = nodes.select("tid", F.posexplode("sketches").alias("k", "bucket"))
-    hubs = rows.groupBy("k", "bucket").agg(F.min("tid").alias("hub"), F.max("tid").alias("last")).where("hub <> last").drop("last")
-    met = work.write(rows.join(hubs.hint("merge"), ["k", "bucket"]), "met")
+    rows = nodes.select("tid", F.explode("sketches").alias("bucket"))
+    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = work.write(rows.join(shared.hint("merge"), "bucket"), "buckets")
+    hubs = rows.groupBy("bucket").agg(F.min("tid").alias("hub"))
+    met = work.write(rows.join(hubs.hint("merge"), "bucket"), "met")
     texts = work.write(docs.join(met.select("tid").distinct().hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
     # Joined with the hub's text last, so that rows come by hubs and their shingles are made once.
     pairs = met.where("tid <> hub").select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct()
@@ -373,10 +375,12 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The document of least id of each class, with all its columns; null ids come last, repeated rows count once."""
     named = _roots(docs, id_column, text_column)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("tid").alias("tid"))
-    kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.col("lead.doc_id").alias("kept_id"), F.col("lead.tid").alias("kept_tid"))
-    rows = docs.select(F.struct(*[dotted(c).alias(c) for c in docs.columns]).alias("doc"), text_id(text_column).alias("tid"), dotted(id_column).alias("doc_id"))
-    on = F.col("tid").eqNullSafe(F.col("kept_tid")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    one = rows.join(kept.hint("merge"), on, "left_semi").groupBy("tid", "doc_id").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    kept = named.groupBy("root").agg(F.min(order).alias("lead")).select(F.xxhash64("lead.doc_id").alias("key"), F.col("lead.tid").alias("tid"))
+    row = F.xxhash64(*[F.to_json(dotted(f.name)) if "map<" in f.dataType.simpleString() else dotted(f.name) for f in docs.schema])
+    rows = docs.select(F.struct(*[dotted(c).alias(c) for c in docs.columns]).alias("doc"), text_id(text_column).alias("tid"), dotted(id_column).alias("doc_id"), row.alias("row"))
+    # Dealt by text and id, so that copies of one text are many tasks; what is left of it stays there to count once.
+    found = rows.withColumn("key", F.xxhash64("doc_id")).join(kept.hint("merge"), ["key", "tid"], "left_semi")
+    one = found.groupBy("key", "tid").agg(F.min_by("doc", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("doc"))
     return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
