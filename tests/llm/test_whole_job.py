@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewell.llm import language_id, near_dedup, secret_scan, suffix_dedup
+from tidewell.llm import language_id, near_dedup, secret_scan, suffix_dedup, topk_search
 
 
 def edited(r: random.Random, words: list[str], name: str, edits: int = 3) -> str:
@@ -127,3 +127,34 @@ def test_secret_scan_precision_and_recall(spark):
     found = {x["doc_id"]: x["n_markov"] for x in secret_scan.scan(docs, secret_scan.train(secret_scan.default_samples(spark))).collect()}
     hits, wrong = sum(found[i] > 0 for i in range(400)), sum(found[i] > 0 for i in range(400, 800))
     assert hits >= 0.95 * 400 and wrong <= 0.02 * 400, (hits, wrong)
+
+
+def test_trees_leave_out_most_products_of_clustered_vectors():
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(40, 16)) * 64
+    points = np.floor(centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 16)) * 3).astype(np.int64)
+    ids = np.arange(4000)
+    trees = [topk_search.CoverTree(ids[i::2], points[i::2]) for i in (0, 1)]
+    assert max(b - a for t in trees for (a, b), kids in zip(t.range, t.kids, strict=True) if not kids) <= topk_search.LEAF
+    search = topk_search.Search(topk_search.CoverTree(ids[::20], points[::20]), 20)
+    for t in trees:
+        search.meet(t)
+    assert search.products < 0.3 * 200 * 4000
+    scores = points[::20] @ points.T
+    got = list(zip(*(x.tolist() for x in search.hits()), strict=True))
+    want = [(q, c, int(scores[i, c])) for i, q in enumerate(ids[::20].tolist()) for c in sorted((c for c in range(4000) if c != q), key=lambda c: (-scores[i, c], c))[:20]]
+    assert sorted(got) == sorted(want)
+
+
+def test_top_k_of_text_ids_over_many_cells(spark):
+    r = random.Random(12)
+    rows = [(f"v{i}", [r.gauss(0, 1) for _ in range(5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "`vec.id` string, embedding array<double>")
+    got = topk_search.top_k(df, lambda i: i.endswith("7"), k=5, block=40, query_block=6, id_column="vec.id").collect()
+    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in good:
+        if q.endswith("7"):
+            scored = sorted((-sum(x * y for x, y in zip(good[q], v, strict=True)), c) for c, v in good.items() if c != q)
+            want += [(q, n, c, -s) for n, (s, c) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
