@@ -8,13 +8,17 @@ leading where y led from the old state. A state is thus kept as the state it
 copies, the arc it lacks and the time it was made, and the arcs of z follow from
 those of its left parts; the arcs met are kept in a table as they are met.
 
-A word has exactly one accepted path that spells it. Encoding follows the trie of
-arc labels over the word's bytes, takes the longest arc that the table allows and
-backs out of dead ends. Decoding emits the labels of the path's arcs.
+Every run of symbols has exactly one accepted path that spells it, and so has each
+beginning of it. Encoding is a transition table over symbols: a state stands for
+the last token of what is read, and for the tokens that may be half read, each with
+the token before it. One look-up a symbol gives the next state, and with it the last
+token of the path so far; the path is read off backwards by the tokens' lengths.
+States and their rows of the table are made from the automaton and the trie of arc
+labels when a word first comes to them. Decoding emits the labels of the path's arcs.
 
 Defined results: a null or empty text has no tokens and the digests of nothing;
-repeated rows give repeated rows; a null doc_id stays null; an empty table gives
-an empty table; columns other than the id and the text are neither read nor
+repeated rows give repeated rows; ids may be of any type and null; an empty table
+gives an empty table; columns other than the id and the text are neither read nor
 returned.
 """
 
@@ -29,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow
+from tidewell.llm.common import dotted, map_arrow
 from tidewell.llm.tokenise import Memo, Splitter, byte_symbols
 
 _LATE = 1 << 60
-_OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Transitions that a worker holds; then the table is begun anew.
+TRANSITIONS = 600_000
+_OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Automaton:
@@ -77,7 +83,13 @@ class Automaton:
                     self.token_at.append(-1)
                 node = step
             self.token_at[node] = token
+        #: Of each token the symbols that it spells; of each node of the trie whether it goes on.
+        self.size = {token: len(symbols) for token, symbols in spelled.items()}
+        self.goes_on = bytearray(len(self.token_at))
+        for key in self.trie:
+            self.goes_on[key // 512] = 1
         self.arcs: dict[int, bool] = {}
+        self._begin()
 
     def _gadget(self, x: int, y: int, z: int, time: int) -> None:
         old = self.state[x]
@@ -121,6 +133,36 @@ class Automaton:
             self.arcs[key] = known
         return known
 
+    def _begin(self) -> None:
+        """The empty table: state 0 has read nothing."""
+        #: state * 512 + symbol -> state; of each state its last token, and (token before, node of the trie) of those half read.
+        self.table: dict[int, int] = {}
+        self.last, self.open = [-1], [((-1, 0),)]
+        self.numbered = {self.open[0]: 0}
+
+    def _transition(self, state: int, symbol: int) -> int:
+        """Fill in one place of the table."""
+        last, open_ = -1, []
+        for before, node in self.open[state]:
+            node = self.trie.get(node * 512 + symbol, -1)
+            if node < 0:
+                continue
+            token = self.token_at[node]
+            if token >= 0 and last < 0 and (before < 0 or self.allows(before, token)):
+                last = token
+            if self.goes_on[node]:
+                open_.append((before, node))
+        if last < 0:
+            raise ValueError("the merge list accepts no path for this word")
+        key = (*open_, (last, 0))
+        found = self.numbered.get(key)
+        if found is None:
+            found = self.numbered[key] = len(self.last)
+            self.last.append(last)
+            self.open.append(key)
+        self.table[state * 512 + symbol] = found
+        return found
+
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-split word. Bytes without a symbol are left out."""
         if not word:
@@ -130,34 +172,18 @@ class Automaton:
             symbols[-1] += 256
         if any(s not in self.trie for s in symbols):
             symbols = [s for s in symbols if s in self.trie]
-        n, trie, token_at = len(symbols), self.trie, self.token_at
-        path: list[int] = []
-        ends = [0]
-        options: list[list[tuple[int, int]]] = []
-        dead: set[tuple[int, int]] = set()
-        while ends[-1] < n:
-            at, last = ends[-1], path[-1] if path else -1
-            if len(options) == len(path):
-                node, found = 0, []
-                for k in range(at, n):
-                    node = trie.get(node * 512 + symbols[k], -1)
-                    if node < 0:
-                        break
-                    if token_at[node] >= 0:
-                        found.append((token_at[node], k + 1))
-                options.append(found)
-            found = options[-1]
-            while found:
-                token, end = found.pop()
-                if (token, end) not in dead and (last < 0 or self.allows(last, token)):
-                    path.append(token)
-                    ends.append(end)
-                    break
-            else:
-                if not path:
-                    raise ValueError("the merge list accepts no path for this word")
-                options.pop()
-                dead.add((path.pop(), ends.pop()))
+        if len(self.table) > TRANSITIONS:
+            self._begin()
+        state, table, last, lasts = 0, self.table, self.last, []
+        for s in symbols:
+            step = table.get(state * 512 + s)
+            state = self._transition(state, s) if step is None else step
+            lasts.append(last[state])
+        path, at = [], len(symbols)
+        while at:
+            path.append(lasts[at - 1])
+            at -= self.size[path[-1]]
+        path.reverse()
         return path
 
     def decode(self, ids) -> bytes:
@@ -238,14 +264,16 @@ def _ids(tokenizer_path: str):
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids array<long>, decoded string) of each document."""
-    return map_arrow(_rows(docs, id_column, text_column), _ids(tokenizer_path), "doc_id long, ids array<long>, decoded string")
+    rows = _rows(docs, id_column, text_column)
+    return map_arrow(rows, _ids(tokenizer_path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<long>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Number of tokens and digests of the ids and of the decoded text of each document."""
-    return map_arrow(_rows(docs, id_column, text_column), _digest(tokenizer_path), _OUT)
+    rows = _rows(docs, id_column, text_column)
+    return map_arrow(rows, _digest(tokenizer_path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_OUT}")
