@@ -2,15 +2,15 @@
 
 A payload of 8-bit samples is cut where a rolling gear hash of the last 32 bytes
 has its low bits clear, so equal passages are cut alike wherever they stand.
-Tasks append compressed chunks to pack files in the shared folder and return the
-ordered chunk list of each payload. Spark then joins the lists with the first
-place of each digest, so each list points to one copy of a chunk; a copy that
-another task stored too is no longer pointed to (`unused` lists those bytes).
+Tasks compress the chunks that they have not met before into drafts and return the
+ordered chunk list of each payload. Spark takes the first place of each digest over
+all tasks, those chunks alone are copied to the packs, and the drafts go: each chunk
+is stored once. A join on the digest then points the lists to it.
 Reading follows the lists, checks each chunk's digest and puts the payload
 together; the rows of a pack are read together.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts
-have equal values; repeated rows give repeated rows; a null doc_id stays null; an
+have equal values; repeated rows give repeated rows; ids may be of any type, a null one stays null; an
 empty table gives an empty table; columns other than the id and the text are
 neither read nor returned.
 """
@@ -28,16 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import filesystem, map_arrow, materialise, scratch, slices, utf8
+from tidewell.llm.common import Workspace, dotted, filesystem, map_arrow, scratch, slices, utf8
 
 UNIT = 64
 LEAST_CHUNK, MOST_CHUNK, CUT_BITS = 2 << 10, 64 << 10, 13
 PACK_BYTES = 256 << 20
-#: Digests that a task remembers, to store a chunk once; beyond it Spark's join still finds all.
+#: Digests that a task remembers, to draft a chunk once; a chunk drafted again is not copied.
 TASK_DIGESTS = 200_000
-_LIST = "pack long, row long, doc_id long, n_bytes long, n long, digest binary, seq long, offset long, size long, chunk_bytes long"
+_LIST = "pack long, row long, n_bytes long, n long, digest binary, seq long, offset long, size long, chunk_bytes long"
 _LIST_NAMES = [c.split()[0] for c in _LIST.split(", ")]
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def gear_table() -> np.ndarray:
@@ -106,30 +106,82 @@ def _store(folder: str):
                         if at >= PACK_BYTES:
                             close()
                             out, seq = None, seq + 1
-                    rows.append((pack, row, doc, n, i, digest, *place[1:], end - begin))
+                    rows.append((doc, pack, row, n, i, digest, *place[1:], end - begin))
                     begin = end
                 row += 1
-            kinds = [pa.binary() if c == "digest" else pa.int64() for c in _LIST_NAMES]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _LIST_NAMES)
+            kinds = [batch.column("doc_id").type, *[pa.binary() if c == "digest" else pa.int64() for c in _LIST_NAMES]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", *_LIST_NAMES])
         if out is not None:
             close()
 
     return run
 
 
-def store(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write the packs; returns one row for each chunk of each payload, pointing to the one copy of it."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    lists = materialise(map_arrow(rows, _store(folder), _LIST), "chunk-lists")
-    place = F.struct(F.col("pack").alias("at_pack"), "seq", "offset", "size")
-    index = lists.groupBy("digest").agg(F.min(place).alias("place"))
-    return lists.drop("seq", "offset", "size").join(index, "digest").select("pack", "row", "doc_id", "n_bytes", "n", "digest", "chunk_bytes", "place.*")
+def _copy(drafts: str, folder: str):
+    """Pack files of the chunks at the given places of the drafts, and their new places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, (fs, root), source = TaskContext.get(), filesystem(folder), _Packs(drafts)
+        pack, seq, at, out, name = context.partitionId(), 0, 0, None, ""
+
+        def close() -> None:
+            out.close()
+            fs.move(f"{name}.{context.taskAttemptId()}", name)
 
+        for batch in batches:
+            places: list[tuple] = []
+            for digest, from_pack, from_seq, offset, size in zip(*(batch.column(c).to_pylist() for c in ("digest", "pack", "seq", "offset", "size")), strict=True):
+                if out is None:
+                    name = f"{root}/pack-{pack:06d}-{seq:06d}"
+                    fs.create_dir(root, recursive=True)
+                    out, at = fs.open_output_stream(f"{name}.{context.taskAttemptId()}"), 0
+                out.write(source.fetch(from_pack, from_seq, offset, size))
+                places.append((digest, pack, seq, at, size))
+                at += size
+                if at >= PACK_BYTES:
+                    close()
+                    out, seq = None, seq + 1
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.binary()) for i, c in enumerate(zip(*places, strict=True))], ["digest", "at_pack", "seq", "offset", "size"])
+        if out is not None:
+            close()
+        source.close()
 
-def unused(lists: DataFrame, stored: DataFrame) -> DataFrame:
-    """Places that no list of `stored` points to: copies that several tasks wrote."""
-    used = stored.select(F.col("at_pack").alias("pack"), "seq", "offset").distinct()
-    return lists.select("pack", "seq", "offset", "size").distinct().join(used, ["pack", "seq", "offset"], "left_anti")
+    return run
+
+
+class _Packs:
+    """The pack files of a folder, some of them open."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = filesystem(folder)
+        self.files: dict[str, pa.NativeFile] = {}
+
+    def fetch(self, pack: int, seq: int, offset: int, size: int) -> bytes:
+        name = f"{self.root}/pack-{pack:06d}-{seq:06d}"
+        f = self.files.get(name)
+        if f is None:
+            if len(self.files) >= 64:
+                self.files.pop(next(iter(self.files))).close()
+            f = self.files[name] = self.fs.open_input_file(name)
+        return bytes(f.read_at(size, offset))
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+def store(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Write the packs; returns one row for each chunk of each payload, pointing to the one copy of it."""
+    work = Workspace(docs.sparkSession, "media")
+    drafts = f"{work.path}/drafts"
+    rows = docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"))
+    lists = work.write(map_arrow(rows, _store(drafts), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_LIST}"), "chunk-lists")
+    place = F.struct("pack", "seq", "offset", "size")
+    first = lists.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
+    first = first.repartition("pack", "seq").sortWithinPartitions("pack", "seq", "offset")
+    index = work.write(map_arrow(first, _copy(drafts, folder), "digest binary, at_pack long, seq long, offset long, size long"), "index")
+    return work.result(lists.drop("seq", "offset", "size").join(index.hint("merge"), "digest").select("doc_id", "pack", "row", "n_bytes", "n", "digest", "chunk_bytes", "at_pack", "seq", "offset", "size"))
 
 
 def samples_feature(payload: bytes) -> str:
@@ -145,34 +197,24 @@ def samples_feature(payload: bytes) -> str:
 
 def _load(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(folder)
-        open_files: dict[str, pa.NativeFile] = {}
-        expand = zstandard.ZstdDecompressor()
-
-        def fetch(pack: int, seq: int, offset: int, size: int) -> bytes:
-            name = f"{root}/pack-{pack:06d}-{seq:06d}"
-            f = open_files.get(name)
-            if f is None:
-                if len(open_files) >= 64:
-                    open_files.pop(next(iter(open_files))).close()
-                f = open_files[name] = fs.open_input_file(name)
-            return bytes(f.read_at(size, offset))
+        packs, expand = _Packs(folder), zstandard.ZstdDecompressor()
 
         def done() -> tuple:
             payload, media = b"".join(parts), b"".join(frames)
             return (doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), samples_feature(payload))
 
         key, parts, frames, doc, n_bytes = None, [], [], None, 0
-        names = [c.split()[0] for c in _FEATURES.split(", ")]
-        kinds = [pa.string() if c.endswith("string") else pa.int64() for c in _FEATURES.split(", ")]
+        names = ["doc_id", *[c.split()[0] for c in _FEATURES.split(", ")]]
+        kinds = [pa.null(), *[pa.string() if c.endswith("string") else pa.int64() for c in _FEATURES.split(", ")]]
         for batch in batches:
             out = []
-            for pack, row, d, nb, n, digest, _, at_pack, seq, offset, size in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            kinds[0] = batch.column("doc_id").type
+            for d, pack, row, nb, n, digest, _, at_pack, seq, offset, size in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if (pack, row) != key:
                     if key is not None:
                         out.append(done())
                     key, parts, frames, doc, n_bytes = (pack, row), [], [], d, nb
-                frame = fetch(at_pack, seq, offset, size)
+                frame = packs.fetch(at_pack, seq, offset, size)
                 chunk = expand.decompress(frame)
                 if n != len(parts) or hashlib.sha256(chunk).digest() != digest:
                     raise ValueError(f"chunk {n} of document {d} is not what was stored")
@@ -182,17 +224,16 @@ def _load(folder: str):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
         if key is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(done(), kinds, strict=True)], names)
-        for f in open_files.values():
-            f.close()
+        packs.close()
 
     return run
 
 
 def load(stored: DataFrame, folder: str) -> DataFrame:
     """Features of each payload, put together from its verified chunks."""
-    columns = ["pack", "row", "doc_id", "n_bytes", "n", "digest", "chunk_bytes", "at_pack", "seq", "offset", "size"]
+    columns = ["doc_id", "pack", "row", "n_bytes", "n", "digest", "chunk_bytes", "at_pack", "seq", "offset", "size"]
     near = stored.select(*columns).repartition("pack", F.expr("row div 256")).sortWithinPartitions("pack", "row", "n")
-    return map_arrow(near, _load(folder), _FEATURES)
+    return map_arrow(near, _load(folder), f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {_FEATURES}")
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ document over a border gives one record on either side, also where the border
 window is shared by two partitions. Only the last window is padded.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
-packed each; a null doc_id stays null; an empty table gives no pieces; columns
+packed each; ids may be of any type, a null one stays null; an empty table gives no pieces; columns
 other than the id and the text are neither read nor returned.
 """
 
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.common import map_arrow, materialise
+from tidewell.llm.common import dotted, map_arrow, materialise
 from tidewell.llm.tokenise import encoder
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_PIECE_TYPES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
-_ENCODED = "part long, local_start long, n long, doc_id long, ids binary"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ENCODED = "part long, local_start long, n long, ids binary"
 
 
 def _encode(tokenizer_path: str, end_id: int):
@@ -46,12 +46,14 @@ def _encode(tokenizer_path: str, end_id: int):
                 n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
                 starts = at + np.concatenate(([0], np.cumsum(n)[:-1]))
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(n), piece.column("doc_id"), pa.array(ids, pa.binary())], ["part", "local_start", "n", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary()), piece.column("doc_id")], ["part", "local_start", "n", "ids", "doc_id"])
 
     return run
 
 
-def _cut(offsets: dict[int, int], length: int):
+def _cut(offsets: dict[int, int], length: int, kind: pa.DataType):
+    types = pa.schema([("doc_id", kind), *[(c.split()[0], pa.int64()) for c in PIECES.split(", ")]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -63,7 +65,8 @@ def _cut(offsets: dict[int, int], length: int):
                     size = min(length - offset, n - start)
                     out.append((doc, start, size, zlib.crc32(wide[start : start + size]), n, window, offset))
                     start += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(_PIECE_TYPES), schema=_PIECE_TYPES)
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
 
     return run
 
@@ -74,9 +77,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE_TOKENS, en
     The first pass runs at once. What the driver holds is one total for each
     partition of the scan, which Spark's scheduler holds as well.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    stored = materialise(map_arrow(rows, _encode(tokenizer_path, end_id), _ENCODED), "packed-ids")
+    rows = docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    stored = materialise(map_arrow(rows, _encode(tokenizer_path, end_id), f"{_ENCODED}, doc_id {kind.simpleString()}"), "packed-ids")
     offsets, at = {}, 0
     for part, total in sorted((r["part"], r["total"]) for r in stored.groupBy("part").agg(F.sum("n").alias("total")).collect()):
         offsets[part], at = at, at + total
-    return map_arrow(stored, _cut(offsets, length), PIECES)
+    return map_arrow(stored, _cut(offsets, length, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {PIECES}")

@@ -159,8 +159,11 @@ def equal(data: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndar
         lead[order[begins]] = True
         at = order[~begins]
         to = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))[~begins]]
-        columns = [x.tolist() for x in (at, owner[at], first[at], last[at], owner[to], first[to], last[to])]
-        odd = [i for i, o, a, b, p, c, d in zip(*columns, strict=True) if data[o][a:b] != data[p][c:d]]
+        odd: list[int] = []
+        for k in range(0, len(at), 8192):
+            own, other = at[k : k + 8192], to[k : k + 8192]
+            columns = [x.tolist() for x in (own, owner[own], first[own], last[own], owner[other], first[other], last[other])]
+            odd += [i for i, o, a, b, p, c, d in zip(*columns, strict=True) if data[o][a:b] != data[p][c:d]]
         if not odd:
             return where, count[where] > 1, lead
         for i in odd:

@@ -11,7 +11,7 @@ id, documents, ids, documents of null id, smallest doc_id offset by 2**63, bytes
 of the three sections), then the sections: boundaries, doc_ids, ids.
 
 Defined results: a null or empty text is the end id alone; documents of null
-doc_id come first; repeated doc_ids are ordered by text; an empty table gives no
+doc_id, or of one that is no integer, come first; repeated doc_ids are ordered by text; an empty table gives no
 file and no row; columns other than the id and the text are neither read nor
 returned.
 """
@@ -25,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import filesystem, map_arrow, scratch
+from tidewell.llm.common import dotted, filesystem, map_arrow, materialise, scratch
 from tidewell.llm.tokenise import encoder
 
 END_ID = 2
 #: Ids after which a task begins another shard; it bounds what a task holds.
 SHARD_IDS = 8 << 20
+#: Tasks that read shards, at most.
+READ_TASKS = 20_000
 _MAGIC = int.from_bytes(b"TWEFIDS1", "little")
 _HEADER = struct.Struct("<9Q")
 _EVERY = 512
@@ -87,12 +89,27 @@ class EliasFano:
         at = byte * 8 + int(np.flatnonzero(window)[left])
         return ((at - i) << self.width) | self._low(i)
 
+    def selects(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1: the set bits from one sampled bit on, up to the sample after the last."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.zeros(0, np.int64)
+        block, after = first // _EVERY, (last - 1) // _EVERY + 1
+        begin = int(self.sample[block])
+        byte, end = begin // 8, int(self.sample[after]) // 8 + 1 if after < len(self.sample) else len(self.high)
+        window = np.unpackbits(self.high[byte:end], bitorder="little")
+        window[: begin - 8 * byte] = 0
+        skipped = first - block * _EVERY
+        ones = np.flatnonzero(window)[skipped : skipped + last - first] + 8 * byte
+        low = first * self.width
+        bits = np.unpackbits(self.low[low // 8 : -(-last * self.width // 8)], bitorder="little")[low % 8 :][: (last - first) * self.width]
+        lows = (bits.reshape(last - first, self.width).astype(np.int64) << np.arange(self.width)).sum(axis=1)
+        return ((ones - np.arange(first, last)) << self.width) | lows
+
     def all(self) -> np.ndarray:
         """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width) if self.width else np.zeros((self.n, 0), np.uint8)
-        lows = (bits.astype(np.int64) << np.arange(self.width)).sum(axis=1)
-        return ((ones - np.arange(self.n)) << self.width) | lows
+        return self.selects(0, self.n)
 
 
 def shard_bytes(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -108,24 +125,41 @@ def shard_bytes(doc_ids: list[int | None], ids: list[bytes], width: int) -> byte
 
 
 class Shard:
-    """A shard file's content."""
+    """A shard file, read by position: the two sequences at once, ids as they are asked for."""
 
-    def __init__(self, data: bytes):
-        magic, self.width, self.n_docs, self.n_ids, self.nulls, least, a, b, c = _HEADER.unpack_from(data)
-        if magic != _MAGIC or len(data) != _HEADER.size + a + b + c:
+    def __init__(self, data):
+        """data: the file's bytes, or an open file of random access."""
+        self.file = pa.BufferReader(data) if isinstance(data, bytes) else data
+        magic, self.width, self.n_docs, self.n_ids, self.nulls, least, a, b, c = _HEADER.unpack(self.file.read_at(_HEADER.size, 0))
+        if magic != _MAGIC or self.file.size() != _HEADER.size + a + b + c:
             raise ValueError("not a whole shard file")
-        view, at = memoryview(data), _HEADER.size
-        self.least = least - (1 << 63)
-        self.ends = EliasFano.frombytes(view[at : at + a])
-        self.docs = EliasFano.frombytes(view[at + a : at + a + b])
-        self.ids = np.frombuffer(view[at + a + b :], f"<u{self.width}")
+        self.least, self.at = least - (1 << 63), _HEADER.size + a + b
+        self.ends = EliasFano.frombytes(self.file.read_at(a, _HEADER.size))
+        self.docs = EliasFano.frombytes(self.file.read_at(b, _HEADER.size + a))
+
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        """The documents' ids, of documents first to last - 1."""
+        last = self.n_docs if last is None else last
+        known = self.docs.selects(max(0, first - self.nulls), max(0, last - self.nulls))
+        return [None] * max(0, min(last, self.nulls) - first) + (known + self.least).tolist()
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [int(x) + self.least for x in self.docs.all()]
+    def tokens(self, start: int, end: int) -> np.ndarray:
+        """Token ids start to end - 1."""
+        return np.frombuffer(self.file.read_at((end - start) * self.width, self.at + start * self.width), f"<u{self.width}")
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i, by two selects."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.tokens(self.ends.select(i - 1) if i else 0, self.ends.select(i))
+
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray, list[np.ndarray]]]:
+        """(document ids, ends, token ids of each) of all documents, as many at a time as one sample of select spans."""
+        start = 0
+        for first in range(0, self.n_docs, _EVERY):
+            last = min(first + _EVERY, self.n_docs)
+            ends = self.ends.selects(first, last)
+            ids = self.tokens(start, int(ends[-1]))
+            yield self.doc_ids(first, last), ends, np.split(ids, ends[:-1] - start)
+            start = int(ends[-1])
 
 
 def _write(tokenizer_path: str, end_id: int, folder: str, shard_ids: int):
@@ -163,16 +197,21 @@ def _write(tokenizer_path: str, end_id: int, folder: str, shard_ids: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_column: str = "doc_id", text_column: str = "text") -> list[dict]:
-    """Write shards in ascending order of the id; returns the list of shards in that order, with the ids before each."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Write shards in ascending order of the id; returns a row for each shard with the ids before it.
+
+    What the driver holds is one total for each task that wrote.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(dotted(id_column).try_cast("long").alias("doc_id"), dotted(text_column).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    entries = sorted((r.asDict() for r in map_arrow(ordered, _write(tokenizer_path, end_id, folder, shard_ids), _ENTRY).collect()), key=lambda e: (e["part"], e["seq"]))
-    at = 0
-    for e in entries:
-        e["before"] = at
-        at += e["n_ids"]
-    return entries
+    entries = materialise(map_arrow(ordered, _write(tokenizer_path, end_id, folder, shard_ids), _ENTRY), "shards")
+    totals, at = [], 0
+    for part, total in sorted((r["part"], r["total"]) for r in entries.groupBy("part").agg(F.sum("n_ids").alias("total")).collect()):
+        totals.append((part, at))
+        at += total
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return entries.join(spark.createDataFrame(totals, "part long, first long"), "part").withColumn("before", F.col("first") + F.coalesce(own, F.lit(0))).drop("first")
 
 
 def _read(folder: str):
@@ -180,25 +219,24 @@ def _read(folder: str):
         fs, _ = filesystem(folder)
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
-                with fs.open_input_stream(path) as f:
-                    shard = Shard(f.read())
-                ends = shard.ends.all()
-                starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                crcs = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + before), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with fs.open_input_file(path) as f:
+                    at = before
+                    for docs, ends, ids in Shard(f).documents():
+                        starts = np.concatenate(([at], before + ends[:-1]))
+                        at = before + int(ends[-1])
+                        crcs = [zlib.crc32(x.astype("<u4")) for x in ids]
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(before + ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
-def read(spark: SparkSession, folder: str, entries: list[dict]) -> DataFrame:
+def read(folder: str, entries: DataFrame) -> DataFrame:
     """One row for each document of the shards: its place, its length and the checksum of its ids."""
-    schema = "path string, before long"
-    shards = spark.createDataFrame([(e["path"], e["before"]) for e in entries], schema)
-    return map_arrow(shards.repartition(max(1, len(entries))), _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(READ_TASKS, entries.count()))
+    return map_arrow(entries.select("path", "before").repartition(tasks), _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write docs to the shared folder and read them back."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "token-files")
-    return read(spark, folder, write(docs, folder, tokenizer_path, **options))
+    folder = scratch(docs.sparkSession, "token-files")
+    return read(folder, write(docs, folder, tokenizer_path, **options))
