@@ -127,10 +127,13 @@ class Workspace:
     def result(self, df: DataFrame) -> DataFrame:
         """df written beside the folder, which then goes."""
         out = materialise(df, f"{self.name}-result")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.remove(self.path)
         return out
 
+    def remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def local_path(uri: str) -> str:
     """The path that Python opens for a file: URI; other schemes are left to pyarrow."""

@@ -4,8 +4,8 @@ A payload of 8-bit samples is cut where a rolling gear hash of the last 32 bytes
 has its low bits clear, so equal passages are cut alike wherever they stand.
 Tasks compress the chunks that they have not met before into drafts and return the
 ordered chunk list of each payload. Spark takes the first place of each digest over
-all tasks, those chunks alone are copied to the packs, and the drafts go: each chunk
-is stored once. A join on the digest then points the lists to it.
+all tasks and those chunks alone are copied to the packs, a few drafts at a time,
+which then go: each chunk is stored once. A join on the digest then points the lists to it.
 Reading follows the lists, checks each chunk's digest and puts the payload
 together; the rows of a pack are read together.
 
@@ -33,6 +33,8 @@ from tidewell.llm.common import Workspace, dotted, filesystem, map_arrow, scratc
 UNIT = 64
 LEAST_CHUNK, MOST_CHUNK, CUT_BITS = 2 << 10, 64 << 10, 13
 PACK_BYTES = 256 << 20
+#: Parts in which drafts are copied and removed: so much less than two copies stand on disk.
+ROUNDS = 4
 #: Digests that a task remembers, to draft a chunk once; a chunk drafted again is not copied.
 TASK_DIGESTS = 200_000
 _LIST = "pack long, row long, n_bytes long, n long, digest binary, seq long, offset long, size long, chunk_bytes long"
@@ -93,8 +95,8 @@ def _store(folder: str):
                     place = seen.get(digest)
                     if place is None:
                         if out is None:
-                            name = f"{root}/pack-{pack:06d}-{seq:06d}"
-                            fs.create_dir(root, recursive=True)
+                            name = f"{root}/{pack % ROUNDS}/pack-{pack:06d}-{seq:06d}"
+                            fs.create_dir(f"{root}/{pack % ROUNDS}", recursive=True)
                             out, at = fs.open_output_stream(f"{name}.{context.taskAttemptId()}"), 0
                         frame = squeeze.compress(chunk)
                         out.write(frame)
@@ -117,12 +119,12 @@ def _store(folder: str):
     return run
 
 
-def _copy(drafts: str, folder: str):
+def _copy(drafts: str, folder: str, turn: int):
     """Pack files of the chunks at the given places of the drafts, and their new places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, (fs, root), source = TaskContext.get(), filesystem(folder), _Packs(drafts)
-        pack, seq, at, out, name = context.partitionId(), 0, 0, None, ""
+        pack, seq, at, out, name = context.partitionId() * ROUNDS + turn, 0, 0, None, ""
 
         def close() -> None:
             out.close()
@@ -178,10 +180,13 @@ def store(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column:
     rows = docs.select(dotted(id_column).alias("doc_id"), dotted(text_column).cast("string").alias("text"))
     lists = work.write(map_arrow(rows, _store(drafts), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_LIST}"), "chunk-lists")
     place = F.struct("pack", "seq", "offset", "size")
-    first = lists.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
-    first = first.repartition("pack", "seq").sortWithinPartitions("pack", "seq", "offset")
-    index = work.write(map_arrow(first, _copy(drafts, folder), "digest binary, at_pack long, seq long, offset long, size long"), "index")
-    return work.result(lists.drop("seq", "offset", "size").join(index.hint("merge"), "digest").select("doc_id", "pack", "row", "n_bytes", "n", "digest", "chunk_bytes", "at_pack", "seq", "offset", "size"))
+    first = work.write(lists.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*"), "first")
+    index = work.table("index", "digest binary, at_pack long, seq long, offset long, size long")
+    for turn in range(ROUNDS):
+        own = first.where(F.col("pack") % ROUNDS == turn).repartition("pack", "seq").sortWithinPartitions("pack", "seq", "offset")
+        index.add(map_arrow(own, _copy(f"{drafts}/{turn}", folder, turn), index.schema))
+        work.remove(f"{drafts}/{turn}")
+    return work.result(lists.drop("seq", "offset", "size").join(index.rows().hint("merge"), "digest").select("doc_id", "pack", "row", "n_bytes", "n", "digest", "chunk_bytes", "at_pack", "seq", "offset", "size"))
 
 
 def samples_feature(payload: bytes) -> str:
