@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.optics import bind
+
 #: Linear RGB to XYZ over the white point, and back.
 TO_XYZ = ((0.433953, 0.376219, 0.189828), (0.212671, 0.715160, 0.072169), (0.017758, 0.109477, 0.872765))
 FROM_XYZ = ((3.0799327, -1.537150, -0.542782), (-0.921235, 1.875992, 0.0452442), (0.0528909, -0.204043, 1.1511515))
@@ -41,20 +43,28 @@ def lut_tetrahedral(rgb: Sequence[Column], table: Column, step: int, edge: int)
     A tie of the first two goes by the strict comparisons of the order below.
     The sum of the walk is divided by the step towards zero.
     """
-    base = [F.floor(c / step).cast("int") for c in rgb]
-    x, y, z = fraction = [(c % step).cast("int") for c in rgb]
+    base = F.array(*[F.floor(c / step).cast("int") for c in rgb])
+    x, y, z = part = [(c % step).cast("int") for c in rgb]
     order = F.when((x > y) & (y > z), "012").when((x > y) & (x > z), "021").when(x > y, "201").when(x > z, "102").when(y > z, "120").otherwise("210")
 
-    def value(moved: str) -> Column:
-        p = [F.least(c + (str(i) in moved) * 1, F.lit(edge - 1)) for i, c in enumerate(base)]
-        return F.get(table, (p[0] * edge + p[1]) * edge + p[2])
+    def walk(p: Column) -> Column:
+        strides = (edge * edge, edge, 1)
+        # One step along an axis, none from the last cell.
+        steps = F.array(*[F.when(p["base"][i] < edge - 1, s).otherwise(0) for i, s in enumerate(strides)])
+        first, second = (F.substring(p["order"], i, 1).cast("int") for i in (1, 2))
+        start = sum((p["base"][i] * s for i, s in enumerate(strides[1:], 1)), p["base"][0] * strides[0])
+        return bind(corners, part=p["part"], axes=F.array(first, second, 3 - first - second), steps=steps, start=start)
+
+    def corners(p: Column) -> Column:
+        along = [F.get(p["steps"], p["axes"][i]) for i in range(3)]
+        places = [p["start"], p["start"] + along[0], p["start"] + along[0] + along[1], p["start"] + along[0] + along[1] + along[2]]
+        return bind(total, values=F.array(*[F.get(table, c) for c in places]), parts=F.array(*[F.get(p["part"], p["axes"][i]) for i in range(3)]))
+
+    def total(p: Column) -> Column:
+        v = p["values"]
+        return bind(lambda q: clamp(q["first"] + F.signum(q["sum"].cast("double")).cast("int") * F.floor(F.abs(q["sum"]) / step).cast("int"), 0, 255), first=v[0], sum=sum(((v[i + 1] - v[i]) * p["parts"][i] for i in (1, 2)), (v[1] - v[0]) * p["parts"][0]))
 
-    walked = F
-    for name in ("012", "021", "201", "102", "120", "210"):
-        steps = [(value(name[: i + 1]) - value(name[:i])) * fraction[int(name[i])] for i in range(3)]
-        walked = walked.when(order == name, steps[0] + steps[1] + steps[2])
-    total = walked.otherwise(None)
-    return clamp(value("") + F.signum(total.cast("double")).cast("int") * F.floor(F.abs(total) / step).cast("int"), 0, 255)
+    return bind(walk, base=base, part=F.array(*part), order=order)
 
 
 def _lab(t: Column) -> Column:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(use: Callable[[Column], Column], **values: Column) -> Column:
+    """`use` of a struct of the values, each worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), 1)
+
+
 def panorama_ray(x: Column, y: Column, width: int, height: int) -> Column:
     """Unit ray through a pixel centre of an equirectangular picture: 2 pi around, pi up and down."""
     lon = ((x + 0.5) / width - 0.5) * 2 * math.pi
@@ -84,11 +90,22 @@ def radtan_pro(x: Column, y: Column, k: list[float]) -> Column:
     return F.struct((x * scale + first * (r2 + 2 * x * x) + 2 * second * xy + r2 * (s1 + s3 * r2)).alias("x"), (y * scale + second * (r2 + 2 * y * y) + 2 * first * xy + r2 * (s2 + s4 * r2)).alias("y"))
 
 
-def omni_distorted(ray: Column, xi: float, distortion: list[float], fx: float, fy: float, cx: float, cy: float) -> Column:
-    """Unified sphere model with 5 or 13 distortion terms; null where the projection does not exist."""
-    depth = ray["z"] + xi * F.sqrt(ray["x"] * ray["x"] + ray["y"] * ray["y"] + ray["z"] * ray["z"])
-    bent = (radtan if len(distortion) == 5 else radtan_pro)(ray["x"] / depth, ray["y"] / depth, distortion)
-    return F.when(F.abs(depth) > 2.220446049250313e-16, F.struct((bent["x"] * fx + cx).alias("u"), (bent["y"] * fy + cy).alias("v")))
+def omni_distorted(ray: Column, xi: float, distortion: list[float], fx: float, fy: float, cx: float, cy: float, within: float | None = None) -> Column:
+    """Unified sphere model with 5 or 13 distortion terms; null where the projection does not exist, or lies `within` or farther from the axis before distortion."""
+    bent = radtan if len(distortion) == 5 else radtan_pro
+
+    def seen(p: Column) -> Column:
+        inside = F.lit(True) if within is None else p["x"] * p["x"] + p["y"] * p["y"] < within * within
+        return bind(lambda q: F.when(inside, F.struct((q["p"]["x"] * fx + cx).alias("u"), (q["p"]["y"] * fy + cy).alias("v"))), p=bent(p["x"], p["y"], distortion))
+
+    def flat(r: Column) -> Column:
+        return F.when(F.abs(r["depth"]) > 2.220446049250313e-16, bind(seen, x=r["ray"]["x"] / r["depth"], y=r["ray"]["y"] / r["depth"]))
+
+    def deep(r: Column) -> Column:
+        r = r["ray"]
+        return bind(flat, ray=r, depth=r["z"] + xi * F.sqrt(r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"]))
+
+    return bind(deep, ray=ray)
 
 
 def radial_project(ray: Column, radius: Column, fx: float, fy: float, cx: float, cy: float) -> Column:

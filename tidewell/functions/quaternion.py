@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.optics import bind
+
 
 def quaternion(w, x, y, z) -> Column:
     return F.struct(*[c.cast("double").alias(n) for n, c in zip("wxyz", (w, x, y, z), strict=True)])
@@ -71,7 +73,7 @@ def euler(x: Column, y: Column, z: Column) -> Column:
     half = lambda c: F.radians(c) / 2
     none = F.lit(0.0)
     qx, qy, qz = quaternion(F.cos(half(x)), F.sin(half(x)), none, none), quaternion(F.cos(half(y)), none, F.sin(half(y)), none), quaternion(F.cos(half(z)), none, none, F.sin(half(z)))
-    return mul(mul(qz, qy), qx)
+    return bind(lambda t: bind(lambda u: mul(u["both"], u["x"]), both=mul(t["z"], t["y"]), x=t["x"]), x=qx, y=qy, z=qz)
 
 
 def forward(q: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,29 +44,45 @@ def ema_with_reset(df: DataFrame, by: list[str], clock: str, value: str, rate: f
     or value take no part.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([clock, value])
-        means, shares, last, mean, share = [], [], None, 0.0, 1.0
-        for t, v in zip(rows[clock], rows[value], strict=True):
-            anew = last is not None and t <= last
-            mean, share = (v, 0.0) if anew else (rate * mean + (1 - rate) * v, rate * share)
-            last = t
-            means.append(mean)
-            shares.append(share)
-        first = rows[value].iloc[0]
-        return rows[[*by, "__cell", clock]].assign(__at=range(len(rows)), __mean=means, __share=shares, __first=first)
-
-    def chain(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("__cell")
-        carried, mean = [], cells["__first"].iloc[0]  # a first value is its own mean
-        for m, s in zip(cells["__mean"], cells["__share"], strict=True):
-            carried.append(mean)
-            mean = m + s * mean
-        return cells[[*by, "__cell"]].assign(__carry=carried)
-
     rows = df.select(*by, F.col(clock).cast("long").alias(clock), F.col(value).cast("double").alias(value)).where(F.col(clock).isNotNull() & F.col(value).isNotNull())
-    local = rows.withColumn("__cell", F.floor(F.col(clock) / cell)).groupBy(*by, "__cell").applyInPandas(fold, f"{kinds}, __cell long, {clock} long, __at long, __mean double, __share double, __first double")
-    ends = local.groupBy(*by, "__cell").agg(F.max_by(F.struct("__mean", "__share", "__first"), "__at").alias("__end")).select(*by, "__cell", "__end.*")
-    carries = ends.groupBy(*by).applyInPandas(chain, f"{kinds}, __cell long, __carry double")
-    return local.join(carries, [*by, "__cell"]).select(*by, clock, (F.col("__mean") + F.col("__share") * F.col("__carry")).alias("ema"))
+    inside = Window.partitionBy(*by, "__cell").orderBy(clock, value)
+    rows = rows.withColumn("__cell", F.floor(F.col(clock) / cell)).withColumn("__last", F.lag(clock).over(inside))
+    anew = F.col(clock) <= F.col("__last")
+    rows = rows.withColumn("__new", F.col("__last").isNull()).withColumn("__a", F.when(anew, F.col(value)).otherwise((1 - rate) * F.col(value))).withColumn("__b", F.when(anew, 0.0).otherwise(rate))
+    # The window has sorted the rows, and mapInArrow leaves them so.
+    local = rows.select(*by, "__cell", clock, F.col(value).alias("__value"), "__new", "__a", "__b").mapInArrow(_composed, f"{kinds}, __cell long, {clock} long, __value double, __new boolean, __a double, __b double, __at long")
+    ends = local.groupBy(*by, "__cell").agg(F.max_by(F.struct("__a", "__b"), "__at").alias("__end"), F.min_by("__value", "__at").alias("__first"))
+    cells = Window.partitionBy(*by).orderBy("__cell")
+    first = F.lag("__cell").over(cells).isNull()
+    # A first value is its own mean: the first cell's map is applied to it.
+    ends = ends.select(*by, "__cell", first.alias("__new"), F.when(first, F.col("__end.__a") + F.col("__end.__b") * F.col("__first")).otherwise(F.col("__end.__a")).alias("__a"), F.when(first, 0.0).otherwise(F.col("__end.__b")).alias("__b"), "__first")
+    chained = ends.mapInArrow(_composed, f"{kinds}, __cell long, __new boolean, __a double, __b double, __first double, __at long")
+    carries = chained.select(*by, "__cell", F.coalesce(F.lag("__a").over(cells), "__first").alias("__carry"))
+    return local.join(carries, [*by, "__cell"]).select(*by, clock, (F.col("__a") + F.col("__b") * F.col("__carry")).alias("ema"))
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maps x -> __a + __b * x of all rows up to each, from the last row with __new on, and the row's place there.
+
+    By doubling: each round composes a map with that of twice as many rows, for a
+    whole batch at once.
+    """
+    at, a_before, b_before = -1, 0.0, 1.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new, a, b = (np.array(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("__new", "__a", "__b"))
+        place = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        open_ = np.maximum.accumulate(new) == 0
+        place[open_] = at + 1 + np.arange(int(open_.sum()))
+        if open_[0]:
+            a[0], b[0] = a[0] + b[0] * a_before, b[0] * b_before
+        reach = np.minimum(place, np.arange(len(new)))  # rows before each that its map takes in
+        k = 1
+        while k <= reach.max():
+            rows = np.flatnonzero(reach >= k)
+            a[rows], b[rows] = a[rows] + b[rows] * a[rows - k], b[rows] * b[rows - k]
+            k *= 2
+        at, a_before, b_before = int(place[-1]), a[-1], b[-1]
+        columns = {n: batch.column(n) for n in batch.schema.names} | {"__a": pa.array(a), "__b": pa.array(b), "__at": pa.array(place)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import optics
 from tidewell.functions import quaternion as quat
 from tidewell.functions.clock import micros, rational_key
-from tidewell.operators import alignment, ordered, publish
+from tidewell.operators import alignment, ordered, publish, raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -317,12 +317,9 @@ def circular_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TILES}, o AS (SELECT a - 1 AS dx, b - 1 AS dy FROM range(3) p(a), range(3) q(b)), t AS (SELECT vec_id, x, y, CASE WHEN x + dx < 0 THEN -(x + dx) WHEN x + dx > 7 THEN 14 - (x + dx) ELSE x + dx END AS sx, CASE WHEN y + dy < 0 THEN -(y + dy) WHEN y + dy > 7 THEN 14 - (y + dy) ELSE y + dy END AS sy FROM tiles, o) SELECT t.vec_id, t.x, t.y, CAST(sum(s.v) AS BIGINT) AS box FROM t JOIN tiles s ON s.vec_id = t.vec_id AND s.x = t.sx AND s.y = t.sy GROUP BY 1, 2, 3")
 def box_mean_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of 3 x 3 pixels, mirrored at the border: each pixel is dealt to the places that use it, then one sum."""
-    pixels = tiles(spark, sf_dir)
-    rows = pixels.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
-    wanted = rows.select("vec_id", "x", "y", ordered.reflect(F.col("x") + F.col("d.x"), 8).alias("sx"), ordered.reflect(F.col("y") + F.col("d.y"), 8).alias("sy"))
-    source = pixels.select("vec_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v")
-    return wanted.join(source, ["vec_id", "sx", "sy"]).groupBy("vec_id", "x", "y").agg(F.sum("v").alias("box"))
+    """Sum of 3 x 3 pixels, mirrored at the border: two windows along the axes, as the mean times nine is whole."""
+    mean = raster.box_mean(tiles(spark, sf_dir), ["vec_id"], 8, 8, 1, ["v"])
+    return mean.select("vec_id", "x", "y", F.round(F.col("v") * 9).cast("long").alias("box"))
 
 
 @query("SELECT source, doc_id, n, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT source, doc_id, strlen(text) AS n FROM documents)")

@@ -97,11 +97,8 @@ def omni_pro_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _omni_rows(spark: SparkSession, sf_dir: str, distortion: list[float]) -> DataFrame:
-    r = F.col("ray")
-    depth = r["z"] + 1.2 * F.sqrt(r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"])
-    near = rays(spark, sf_dir).where((r["x"] * r["x"] + r["y"] * r["y"]) / (depth * depth) < 4)
-    seen = near.select(*_KEY, optics.omni_distorted(r, 1.2, distortion, 400.0, 410.0, 510.0, 490.0).alias("p"))
-    return seen.select(*_KEY, F.round("p.u", 4).alias("u"), F.round("p.v", 4).alias("v"))
+    seen = rays(spark, sf_dir).select(*_KEY, optics.omni_distorted(F.col("ray"), 1.2, distortion, 400.0, 410.0, 510.0, 490.0, within=2.0).alias("p"))
+    return seen.where("p IS NOT NULL").select(*_KEY, F.round("p.u", 4).alias("u"), F.round("p.v", 4).alias("v"))
 
 
 @query(f"WITH {_RAY}, t AS (SELECT *, sqrt(x*x+y*y) AS a, atan2(sqrt(x*x+y*y), z) AS t FROM ray) SELECT {_ITEM}, round(510 + 400*t*(1+0.03*t-0.02*t*t+0.004*t*t*t)*x/a, 4) AS u, round(490 + 410*t*(1+0.03*t-0.02*t*t+0.004*t*t*t)*y/a, 4) AS v FROM t")
