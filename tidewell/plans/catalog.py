@@ -14,7 +14,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import optics
+from tidewell.functions import optics, rules
 from tidewell.functions import quaternion as quat
 from tidewell.functions.clock import micros, rational_key
 from tidewell.operators import alignment, ordered, publish, raster
@@ -369,14 +369,14 @@ def stationary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("event_id", "user_id", F.count("*").over(hour).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).over(hour).alias("total"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS d FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id < 9),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS d FROM v q JOIN v c ON c.vec_id < 9),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, vec_id) AS k FROM s) SELECT query_id, bool_or(vec_id = 3) AS has_reference, max(CASE WHEN k = 1 THEN vec_id END) AS nearest FROM r WHERE k <= 5 GROUP BY 1""")
 def top5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the reference record is among the five nearest of nine, and which is nearest."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("e"))
     records = rows.where("vec_id < 9").select(F.col("vec_id").alias("c"), F.col("e").alias("f"))  # nine rows
     dot = F.aggregate(F.zip_with("e", "f", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = rows.where("vec_id % 50 = 0").join(F.broadcast(records)).select(F.col("vec_id").alias("query_id"), F.struct((-dot).alias("d"), "c").alias("s"))
+    scored = rows.join(F.broadcast(records)).select(F.col("vec_id").alias("query_id"), F.struct((-dot).alias("d"), "c").alias("s"))
     best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 5).alias("top"))
     return best.select("query_id", F.exists("top", lambda x: x["c"] == 3).alias("has_reference"), F.element_at("top", 1)["c"].alias("nearest"))
 
@@ -436,11 +436,18 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("s")).select("p_brand", F.size("s").cast("long").alias("n_names"), F.when(F.size("s") > 1, "ambiguous").otherwise(F.element_at("s", 1)).alias("name"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'keep' WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'convert' WHEN o_orderstatus = 'F' THEN 'keep' WHEN o_orderpriority = '5-LOW' THEN 'error' ELSE 'convert' END AS rule FROM orders")
+@query("""WITH m AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'preserve' WHEN 1 THEN 'auto' ELSE 'log' END AS r, CASE o_custkey % 3 WHEN 0 THEN 'I_Log' WHEN 1 THEN 'log' END AS g, nullif(o_custkey % 5, 4) AS m, o_orderstatus = 'P' AS bad, o_orderpriority <> '5-LOW' AS lut FROM orders),
+l AS (SELECT *, coalesce(g = 'I_Log', false) AS label, coalesce(m IN (1, 3), false) AS plain, CASE WHEN m = 2 THEN true WHEN m IS NULL OR m = 0 THEN coalesce(g = 'I_Log', false) ELSE false END AS is_log FROM m),
+e AS (SELECT *, r <> 'preserve' AND (r = 'log' OR is_log) AS c, CASE WHEN r <> 'preserve' AND bad THEN 'malformed' WHEN r = 'auto' AND label AND plain THEN 'conflict' WHEN r = 'log' AND plain THEN 'not_log' WHEN r <> 'preserve' AND (r = 'log' OR is_log) AND NOT lut THEN 'no_lut' END AS error FROM l)
+SELECT o_orderkey, CASE WHEN error IS NULL THEN c END AS "convert", error, coalesce(error, CASE WHEN m = 3 THEN 'high_range' END) AS panorama FROM e""")
 def colour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode, gamma = F.col("o_orderstatus"), F.col("o_orderpriority")
-    rule = F.when(mode == "O", "keep").when((mode == "F") & gamma.isin("1-URGENT", "2-HIGH"), "convert").when(mode == "F", "keep").when(gamma == "5-LOW", "error").otherwise("convert")
-    return table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("rule"))
+    """Whether a recording's colours are converted, why not, and what a panorama of it would meet."""
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    requested = F.when(order % 3 == 0, "preserve").when(order % 3 == 1, "auto").otherwise("log")
+    gamma, mode = F.when(customer % 3 == 0, "I_Log").when(customer % 3 == 1, "log"), F.nullif(customer % 5, F.lit(4))
+    given = (requested, gamma, mode, F.col("o_orderstatus") == "P", F.col("o_orderpriority") != "5-LOW")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", rules.colour_conversion(*given).alias("r"), rules.colour_check(*given, F.lit(True)).alias("panorama"))
+    return rows.select("o_orderkey", "r.convert", "r.error", "panorama")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import rules
 from tidewell.functions.clock import micros
-from tidewell.operators import alignment, decisions, ordered, publish
+from tidewell.operators import alignment, decisions, ordered, publish, sequences
 from tidewell.plans.catalog import _LOG, log, query, table
 
 _DAY = 86_400_000_000
@@ -94,11 +95,72 @@ def chapter_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "o_orderkey", link.alias("link"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'error' WHEN p_size % 3 = 2 AND p_partkey % 2 = 0 THEN 'two_file' WHEN p_size % 3 = 1 AND p_partkey % 5 < 3 THEN 'dual_track' WHEN p_size % 3 = 1 AND p_partkey % 7 = 0 THEN 'packed' ELSE 'error' END AS layout FROM part")
+@query("""WITH c AS (SELECT p_partkey, p_size % 3 AS f, p_partkey % 3 AS t, CASE WHEN p_partkey % 11 < 8 THEN 2 ELSE p_partkey % 11 - 4 END AS cat, CASE WHEN p_size % 8 = 3 THEN 2 WHEN p_size % 4 <> 0 THEN 1 END AS rot, nullif(p_partkey % 7, 0) AS st, CASE WHEN p_size % 13 > 9 THEN p_size % 13 - 9 END AS rec, CASE p_partkey % 5 WHEN 1 THEN true WHEN 2 THEN false END AS turned, p_size > 25 AS packed FROM part),
+e AS (SELECT *, CASE WHEN rot <> 1 THEN 'rotated' WHEN cat IN (1, 4, 5, 6) OR cat > 6 OR rec > 2 THEN 'projection' WHEN f = 1 AND t = 2 AND (st IN (1, 2) OR st > 4 OR rec = 1) THEN 'contradicts_tracks' WHEN f = 1 AND t = 2 AND turned IS NULL THEN 'order_undeclared'
+WHEN f = 2 AND t = 1 AND (st IN (1, 3, 4) OR st > 4 OR rec = 2) THEN 'contradicts_pair' WHEN f = 1 AND t = 1 AND NOT packed THEN 'not_packed' WHEN NOT ((f = 1 AND t IN (1, 2)) OR (f = 2 AND t = 1)) THEN 'no_pair' END AS error FROM c)
+SELECT p_partkey, CASE WHEN error IS NULL THEN CASE WHEN f = 1 AND t = 2 THEN 'dual_track' WHEN f = 2 THEN 'two_file' ELSE 'packed' END END AS layout, CASE WHEN error IS NULL THEN CASE WHEN f = 1 AND t = 2 THEN CAST(turned AS INTEGER) ELSE 0 END END AS first_track, error FROM e""")
 def layout_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, flag = F.col("p_size") % 3, F.col("p_partkey")
-    rules = [(files == 0, "error"), ((files == 2) & (flag % 2 == 0), "two_file"), ((files == 1) & (flag % 5 < 3), "dual_track"), ((files == 1) & (flag % 7 == 0), "packed")]
-    return table(spark, sf_dir, "part").select("p_partkey", decisions.decide(rules, "error").alias("layout"))
+    """Where a recording's lenses are found, by its files, tracks and recorded codes."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    rotation = F.when(size % 8 == 3, 2).when(size % 4 != 0, 1)
+    category, record = F.when(key % 11 < 8, 2).otherwise(key % 11 - 4), F.when(size % 13 > 9, size % 13 - 9)
+    turned = F.when(key % 5 == 1, True).when(key % 5 == 2, False)
+    found = rules.layout(size % 3, key % 3, category, rotation, F.nullif(key % 7, F.lit(0)), record, turned, size > 25)
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("r")).select("p_partkey", "r.layout", "r.first_track", "r.error")
+
+
+@query("""WITH o AS (SELECT p_partkey, CASE p_size % 14 WHEN 0 THEN NULL ELSE p_size % 14 END AS st, CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE p_partkey % 10 END AS g, CASE WHEN p_size > 45 THEN p_brand ELSE 'auto' END AS r FROM part),
+n AS (SELECT *, CASE WHEN st = 6 THEN CASE g WHEN 1 THEN 'plastic_guard' WHEN 2 THEN 'glass_guard' WHEN 3 THEN 'bare' WHEN 4 THEN 'mean_guard' WHEN 5 THEN 'nd16' WHEN 6 THEN 'nd32' WHEN 7 THEN 'nd64' WHEN 8 THEN 'nd128' END
+ELSE CASE st WHEN 0 THEN 'bare' WHEN 1 THEN 'sphere_guard' WHEN 2 THEN 'case_water' WHEN 3 THEN 'clear_case_water' WHEN 4 THEN 'plastic_guard' WHEN 5 THEN 'glass_guard' WHEN 7 THEN 'nd16' WHEN 8 THEN 'nd32' WHEN 9 THEN 'nd64' WHEN 10 THEN 'pro_case_water' WHEN 11 THEN 'pro_case_air' WHEN 12 THEN 'nd128' END END AS f FROM o)
+SELECT p_partkey, CASE WHEN r <> 'auto' THEN r WHEN st IS NULL THEN 'auto' ELSE f END AS optics, CASE WHEN r <> 'auto' THEN NULL WHEN st = 6 AND (g IS NULL OR g = 0) THEN 'not_detected' WHEN st IS NOT NULL AND f IS NULL THEN 'unknown_code' END AS error FROM n""")
+def recorded_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optics that a recording states: by request, recorded state or detected guard."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    found = rules.recorded_optics(F.when(size > 45, F.col("p_brand")).otherwise("auto"), F.nullif(size % 14, F.lit(0)), F.when(key % 10 != 9, key % 10), "auto")
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("r")).select("p_partkey", "r.optics", "r.error")
+
+
+@query("""WITH m AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(o_custkey % 97 AS DOUBLE) - 40 END AS ms, o_custkey % 5 < 4 AS raw, CASE WHEN o_orderkey % 11 = 0 THEN 2.0 ELSE 0.0 END AS lapse, o_custkey - 100 AS first, CASE WHEN o_orderkey % 7 = 0 THEN -1.0 ELSE 8.5 END AS sweep FROM orders)
+SELECT o_orderkey, CASE WHEN flag AND ms IS NOT NULL THEN ms * 1000 WHEN flag IS NULL AND coalesce(ms, 0) <> 0 THEN NULL WHEN flag THEN NULL ELSE 0 END AS adjust_us, CASE WHEN flag AND ms IS NULL THEN 'missing' WHEN flag IS NULL AND coalesce(ms, 0) <> 0 THEN 'no_flag' END AS adjust_error,
+CASE WHEN raw AND lapse <= 0 AND first >= 0 THEN first END AS start_us, CASE WHEN lapse <> 0 THEN 'time_lapse' WHEN sweep < 0 THEN 'readout' END AS timing FROM m""")
+def timing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock adjustment, capture start and whether the clocks can be followed."""
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    flag = F.when(order % 3 == 0, True).when(order % 3 == 1, False)
+    ms = F.when(customer % 4 == 1, F.lit(0.0)).when(customer % 4 != 0, (customer % 97).cast("double") - 40)
+    lapse, sweep, none = F.when(order % 11 == 0, 2.0).otherwise(0.0), F.when(order % 7 == 0, -1.0).otherwise(8.5), F.lit(None).cast("long")
+    adjust = rules.gyro_adjustment(flag, ms)
+    start = rules.capture_start(customer % 5 < 4, lapse, none, customer - 100)
+    followed = rules.timing(F.array(F.lit(7)), lapse, none, sweep)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", adjust.alias("a"), start.alias("start_us"), followed.alias("timing"))
+    return rows.select("o_orderkey", F.col("a.us").alias("adjust_us"), F.col("a.error").alias("adjust_error"), "start_us", "timing")
+
+
+_FILE = "'d' || (p_partkey % 40) || '/' || CASE WHEN p_size % 5 = 0 THEN 'odd_' || (p_partkey % 300) ELSE 'v_' || (p_partkey % 150) || CASE WHEN p_size % 2 = 0 THEN '_00_' ELSE '_10_' END || '1' END || '.rec'"
+
+
+@query(f"""WITH f AS (SELECT {_FILE} AS path FROM part), n AS (SELECT path, regexp_extract(path, '^[^/]*/') AS folder, regexp_extract(path, '[^/]*$') AS name FROM f),
+k AS (SELECT path, folder, CASE WHEN contains(name, '_00_') THEN 'p' WHEN contains(name, '_10_') THEN 's' ELSE 'a' END AS kind, CASE WHEN contains(name, '_00_') OR contains(name, '_10_') THEN regexp_replace(upper(name), CASE WHEN contains(name, '_00_') THEN '_00_' ELSE '_10_' END, '_XX_') ELSE name END AS identity FROM n),
+g AS (SELECT folder, identity, count(*) FILTER (kind = 'p') AS p, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 'a') AS a FROM k GROUP BY 1, 2)
+SELECT folder, identity, CAST((p > 0)::INT + (s > 0)::INT + (a > 0)::INT AS INTEGER) AS n_paths, CASE WHEN p > 1 OR s > 1 OR a > 1 THEN 'duplicate' WHEN p = 0 AND s > 0 THEN 'no_primary' END AS error FROM g""")
+def input_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together by their names: a lens file and its sibling, the primary first."""
+    found = sequences.input_sets(table(spark, sf_dir, "part").select(F.expr(_FILE).alias("path")), extension="rec")
+    return found.select("folder", "identity", F.size("paths").alias("n_paths"), "error")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS recording, o_custkey % 3 > 0 AS split, o_orderkey % 50 = 0 AS invalid, CASE WHEN o_custkey % 10 = 7 THEN '' ELSE 'c' || o_custkey END AS identity, o_custkey % 2 AS capture_type, o_orderkey % 1000 AS idx, CASE WHEN o_orderkey % 5 = 0 THEN 9 WHEN o_orderkey % 97 = 0 THEN 8 ELSE 0 END AS total, 1 + o_orderkey % 7 AS duration, o_orderkey % 60 = 1 AS odd FROM orders),
+n AS (SELECT *, split AND identity <> '' AND NOT invalid AS named FROM c), k AS (SELECT *, CASE WHEN named THEN identity || ':' || capture_type ELSE 'r' || recording END AS g FROM n),
+a AS (SELECT g, count(*) AS n_chapters, count(DISTINCT idx) AS n_idx, min(nullif(total, 0)) AS low, max(nullif(total, 0)) AS high, min(odd::INT) AS least, max(odd::INT) AS most, max((split AND NOT named)::INT) AS unnamed FROM k GROUP BY 1)
+SELECT recording, n_chapters, CAST(coalesce(sum(duration) OVER (PARTITION BY g ORDER BY idx, recording ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, NOT split AS complete, CASE WHEN unnamed = 1 THEN 'no_identity' WHEN low <> high THEN 'totals' WHEN least <> most THEN 'incompatible' WHEN n_chapters > 1 AND n_idx < n_chapters THEN 'duplicate_index' END AS error FROM k JOIN a USING (g)""")
+def chapter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of split captures put together, checked and laid end to end."""
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(
+        order.alias("recording"), (customer % 3 > 0).alias("split"), (order % 50 == 0).alias("invalid"), F.when(customer % 10 == 7, "").otherwise(F.concat(F.lit("c"), customer)).alias("identity"), (customer % 2).alias("capture_type"),
+        (order % 1000).alias("idx"), F.when(order % 5 == 0, 9).when(order % 97 == 0, 8).otherwise(0).alias("total"), (1 + order % 7).alias("duration"), (order % 60 == 1).alias("odd"),
+    )
+    return sequences.chapters(rows, ["odd"]).select("recording", "n_chapters", "start", "complete", "error")
 
 
 @query("SELECT p_partkey, (p_size > 5 AND (p_size % 4 = 0 OR lower(p_brand) = 'brand#1' OR lower(p_brand) = 'brand#12') AND (p_size % 3 = 0 OR p_type = 'ECONOMY')) AS allowed FROM part")
@@ -118,11 +180,18 @@ def relative_path_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", decisions.safe_relative(path).alias("safe"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 1 OR l_quantity > 45 THEN 'quality' WHEN l_partkey % 7 = 0 THEN 'empty' WHEN l_partkey % 3 = 0 AND l_orderkey % 2 = 1 THEN 'odd_size' WHEN l_linenumber > 6 THEN 'selection' ELSE 'ok' END AS status FROM lineitem")
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 45 THEN 101 ELSE CAST(l_quantity AS INTEGER) END AS q, l_partkey % 13 = 0 AS there, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 2 * (l_partkey % 9) + CAST(l_partkey % 4 = 3 AS INTEGER) END AS w, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_partkey % 9 END AS h,
+CASE l_orderkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'legacy' ELSE 'ai' END AS mode, CASE WHEN l_partkey % 4 = 0 THEN l_discount * 11 END AS strength, CASE WHEN l_partkey % 5 = 0 THEN l_tax END AS balance, CASE WHEN l_partkey % 3 = 0 THEN l_linenumber END AS style FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q < 1 OR q > 100 THEN 'quality' WHEN there THEN 'exists' WHEN w IS NOT NULL AND NOT (w > 0 AND h > 0 AND w = 2 * h) THEN 'size' WHEN w % 2 <> 0 OR h % 2 <> 0 THEN 'odd_size' END AS export,
+CASE WHEN strength < 0 OR strength > 1 THEN 'strength' WHEN balance < 0 OR balance > 1 THEN 'balance' WHEN mode = 'off' AND (strength IS NOT NULL OR balance IS NOT NULL OR style IS NOT NULL) THEN 'needs_mode' WHEN mode = 'legacy' AND style IS NOT NULL THEN 'style_needs_ai' WHEN mode = 'ai' AND balance IS NOT NULL THEN 'balance_needs_legacy' WHEN mode = 'ai' AND (style < 0 OR style > 3) THEN 'style' END AS underwater FROM o""")
 def options_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that a job's options break."""
-    rules = [((F.col("l_quantity") < 1) | (F.col("l_quantity") > 45), "quality"), (F.col("l_partkey") % 7 == 0, "empty"), ((F.col("l_partkey") % 3 == 0) & (F.col("l_orderkey") % 2 == 1), "odd_size"), (F.col("l_linenumber") > 6, "selection")]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", decisions.decide(rules, "ok").alias("status"))
+    """The first rule that an export's options break, and the first that a restoration's do."""
+    part, line, order = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_orderkey")
+    sized = line % 3 != 0
+    export = rules.export_options(F.when(F.col("l_quantity") > 45, 101).otherwise(F.col("l_quantity").cast("int")), part % 13 == 0, F.when(sized, 2 * (part % 9) + (part % 4 == 3).cast("int")), F.when(sized, part % 9))
+    mode = F.when(order % 3 == 0, "off").when(order % 3 == 1, "legacy").otherwise("ai")
+    water = rules.underwater_options(mode, F.when(part % 4 == 0, F.col("l_discount") * 11), F.when(part % 5 == 0, F.col("l_tax")), F.when(part % 3 == 0, line))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", export.alias("export"), water.alias("underwater"))
 
 
 @query("""WITH s AS (SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f FROM orders GROUP BY 1)
