@@ -9,8 +9,8 @@ symbol wins. A rejection bound on that entropy is taken from documents of the
 sample that the models were not trained on, or where there are none, from the
 number of letters; it is wider for short texts, by the root of their length.
 
-Training reads a sample of at most TRAIN_DOCS documents of each language, those
-of the smallest hash of the id, whole texts. The languages are few, so the sample
+Training reads a sample of at most TRAIN_DOCS documents and TRAIN_CHARS characters
+of each language, those of the smallest hash of the id, whole texts. The languages are few, so the sample
 and the tables fit the driver and are sent to the tasks.
 
 Defined results: a null text or one without a letter is `und` with score 0;
@@ -34,6 +34,8 @@ from tidewell.llm.common import dotted, is_held_out, map_arrow, ship, slices
 
 #: Documents of each language that are read for training, and the share of them kept for the bound.
 TRAIN_DOCS = 500
+#: Characters of a language's documents that are read for training, at most; whole documents alone count.
+TRAIN_CHARS = 16 << 20
 BOUND_SHARE = 5
 ORDER = 4
 #: Symbols of the documents that the bound is taken from; shorter texts, whose entropy says less, get a wider margin.
@@ -270,6 +272,8 @@ def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, id_column: str = "do
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_language / n + 20.0 / n))).otherwise(share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     near = rows.where(hashed < share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    so_far = F.sum(F.length("text").cast("long")).over(Window.partitionBy("lang").orderBy("rank"))
+    near = near.withColumn("chars", so_far).where(F.col("chars") <= TRAIN_CHARS).drop("chars")
     out: dict[str, list[str]] = {}
     for r in sorted(near.collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["text"])
