@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import sequences
 from tidewell.operators.publish import publish
 from tidewell.sources import container, records
 
@@ -32,13 +33,51 @@ def preflight(spark: SparkSession, path: str) -> DataFrame:
     return probe(spark, path).select("path", F.coalesce("box_error", "record_error", "pts_error").alias("reason")).where("reason IS NOT NULL")
 
 
+def input_sets(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    """The files of a folder put together to recordings by their names."""
+    return sequences.input_sets(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path"), extension=extension)
+
+
+def unique_record(records: DataFrame, number: int) -> DataFrame:
+    """(path, payload, error) of the record of an id: a file with several of them is an error, one without has no row."""
+    mine = records.where((F.col("id") == number) & (F.col("status") == "ok"))
+    return mine.groupBy("path").agg(F.count("*").alias("n"), F.min("payload").alias("payload")).select("path", F.when(F.col("n") == 1, F.col("payload")).alias("payload"), F.when(F.col("n") > 1, "duplicate").alias("error"))
+
+
 def extract(spark: SparkSession, path: str, target: str, raw_motion: bool = True) -> dict[str, str]:
-    """Tables boxes, records, pts, metadata and motion under a folder; none replaces one that exists.
+    """Tables boxes, records, pts, metadata, motion and manifest under a folder; none replaces one that exists.
 
-    A damaged file does not stop the others: its rows say what is wrong.
+    A damaged file does not stop the others: its rows say what is wrong. Metadata and
+    motion are made from the records as they were stored, so files are read once for
+    each part. The manifest, written last, has a row for each file of each table, with
+    its length and digest; `verify` holds a folder against it.
     """
-    made = {part: read(spark, path, part) for part in ("boxes", "records", "pts")}
-    inner = lambda number: made["records"].where(F.col("id") == number).withColumnRenamed("path", "recording")
-    made["metadata"] = records.protobuf_fields(inner(METADATA))
-    made["motion"] = records.motion_samples(inner(MOTION), raw_motion)
-    return {name: publish(df, f"{target.rstrip('/')}/{name}") for name, df in made.items()}
+    target = target.rstrip("/")
+    made = {part: publish(read(spark, path, part), f"{target}/{part}") for part in ("boxes", "records", "pts")}
+    stored = spark.read.parquet(made["records"])
+    inner = lambda number: stored.where(F.col("id") == number).withColumnRenamed("path", "recording")
+    made["metadata"] = publish(records.protobuf_fields(inner(METADATA)), f"{target}/metadata")
+    made["motion"] = publish(records.motion_samples(inner(MOTION), raw_motion), f"{target}/motion")
+    made["manifest"] = publish(manifest(spark, made), f"{target}/manifest")
+    return made
+
+
+def manifest(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """(table, file, length, sha256) of the data files of stored tables."""
+    out = None
+    for name, path in tables.items():
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+        rows = files.select(F.lit(name).alias("table"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def verify(spark: SparkSession, target: str) -> DataFrame:
+    """(table, file, status) of the files that are missing, added or changed since a folder was extracted."""
+    target = target.rstrip("/")
+    said = spark.read.parquet(f"{target}/manifest")
+    names = [r["table"] for r in said.select("table").distinct().collect()]  # five at most
+    found = manifest(spark, {n: f"{target}/{n}" for n in names}).select("table", "file", F.col("length").alias("length_now"), F.col("sha256").alias("sha256_now"))
+    both = said.join(found, ["table", "file"], "full")
+    status = F.when(F.col("sha256_now").isNull(), "missing").when(F.col("sha256").isNull(), "added").when((F.col("length") != F.col("length_now")) | (F.col("sha256") != F.col("sha256_now")), "changed")
+    return both.select("table", "file", status.alias("status")).where("status IS NOT NULL")

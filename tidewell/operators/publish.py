@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +41,44 @@ def verified(df: DataFrame, content: str, length: str, digest: str) -> DataFrame
     data = F.col(content).cast("binary")
     status = F.when(F.octet_length(data) != F.col(length), "wrong_length").when(F.sha2(data, 256) != F.col(digest), "wrong_digest").otherwise("ok")
     return df.withColumn("status", status)
+
+
+#: Keys that hold references, and keys of what was recorded, which is never touched.
+REFERENCES = frozenset({"path", "raw_path", "packet_payload", "packet_index", "side_data_payload", "extradata"})
+RECORDED = frozenset({"metadata", "tags"})
+
+
+def with_references(value, known: dict[str, object]):
+    """A JSON value whose references are replaced by what they stand for now, at any depth outside of what was recorded."""
+    if isinstance(value, list):
+        return [with_references(v, known) for v in value]
+    if not isinstance(value, dict):
+        return value
+    swapped = lambda k, v: known[v] if k in REFERENCES and isinstance(v, str) and v in known else with_references(v, known)
+    return {k: v if k in RECORDED else swapped(k, v) for k, v in value.items()}
+
+
+def rewrite_references(df: DataFrame, column: str, references: DataFrame) -> DataFrame:
+    """df with references (path, bundle, offset, size) put into a column of JSON texts.
+
+    A text meets only the references that occur in it, by a join on its strings, so
+    the table of references may be of any size. A text that is no JSON stays.
+    """
+    numbered = df.withColumn("__key", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+    quoted = F.regexp_extract_all(F.col(column), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    named = numbered.select("__key", F.explode(F.array_distinct(quoted)).alias("path")).distinct().join(references, "path")
+    slices = named.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("path", F.to_json(F.struct("bundle", "offset", "size"))))).alias("__known"))
+    kinds = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, known in zip(batch.column(column).to_pylist(), batch.column("__known").to_pylist(), strict=True):
+                try:
+                    out.append(json.dumps(with_references(json.loads(text), {k: json.loads(v) for k, v in known})) if text is not None and known else text)
+                except ValueError:
+                    out.append(text)
+            at = batch.schema.get_field_index(column)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(kinds))], kinds.fieldNames())
+
+    return numbered.join(slices, "__key", "left").select(*[F.col(f"`{c}`") for c in df.columns], "__known").mapInArrow(run, kinds)
