@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def publish(df: DataFrame, target: str, kind: str = "parquet") -> str:
@@ -68,17 +69,20 @@ def rewrite_references(df: DataFrame, column: str, references: DataFrame) -> Dat
     quoted = F.regexp_extract_all(F.col(column), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
     named = numbered.select("__key", F.explode(F.array_distinct(quoted)).alias("path")).distinct().join(references, "path")
     slices = named.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("path", F.to_json(F.struct("bundle", "offset", "size"))))).alias("__known"))
-    kinds = df.schema
+    # Plain names on the way through Arrow: mapInArrow does not take dotted ones.
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    kinds = StructType([StructField(p, f.dataType) for p, f in zip(plain, df.schema, strict=True)])
+    place = plain[df.columns.index(column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, known in zip(batch.column(column).to_pylist(), batch.column("__known").to_pylist(), strict=True):
+            for text, known in zip(batch.column(place).to_pylist(), batch.column("known").to_pylist(), strict=True):
                 try:
                     out.append(json.dumps(with_references(json.loads(text), {k: json.loads(v) for k, v in known})) if text is not None and known else text)
                 except ValueError:
                     out.append(text)
-            at = batch.schema.get_field_index(column)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(kinds))], kinds.fieldNames())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if p == place else batch.column(p) for p in plain], plain)
 
-    return numbered.join(slices, "__key", "left").select(*[F.col(f"`{c}`") for c in df.columns], "__known").mapInArrow(run, kinds)
+    both = numbered.join(slices, "__key", "left").select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, df.columns, strict=True)], F.col("__known").alias("known"))
+    return both.mapInArrow(run, kinds).toDF(*df.columns)
