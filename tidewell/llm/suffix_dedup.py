@@ -19,9 +19,9 @@ found exactly, by merging Burrows-Wheeler transforms of shards.
    LENGTH symbols, rows of one place have a common prefix of LENGTH bytes: the
    repeated intervals.
 4. Anchors of more than HOT segments, counted over all tasks, are split before
-   that: by halves of the anchor's places, and by the bytes which all strings of a
-   half share. Equal strings stay together, and after eight splits only equal
-   strings are.
+   that: by cells of the anchor's places, ever smaller ones, and by the bytes which
+   all strings of a cell share. Equal strings stay together, and after the last
+   split only equal strings are.
 
 Defined results: a null or empty text has no bytes; equal texts of LENGTH bytes or
 more are removed whole; repeated rows give repeated rows; a null doc_id stays
@@ -48,6 +48,8 @@ LENGTH = 200
 PIECE = 64
 #: Segments of one anchor above which it is split; also a bound of a group in a task.
 HOT = 512
+#: Places of an anchor that a cell holds, from split to split.
+CELLS = (64, 16, 4, 1)
 #: Hot anchors that are broadcast, 8 bytes each; more of them are joined by a shuffle.
 HOT_BROADCAST = 500_000
 #: Segments that a task counts together, bytes of a shard, and bytes of a merged block.
@@ -414,15 +416,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["tid", "start", "len"])
 
     block: list[tuple] = []
-    size, last = 0, None
+    size, last, first = 0, None, 0
+
+    def alone() -> int:
+        """A key with one segment has nothing to be compared with, and goes."""
+        return len(block.pop()[3]) if len(block) - first == 1 else 0
+
     for batch in batches:
         for key, tid, start, again, data in zip(*(batch.column(c).to_pylist() for c in ("key", "tid", "start", "twice", "bytes")), strict=True):
-            if key != last and size >= BLOCK:
-                yield done()
-                block, size = [], 0
+            if key != last:
+                size -= alone()
+                if size >= BLOCK:
+                    yield done()
+                    block, size = [], 0
+                first = len(block)
             block.append((tid, start, again, data))
             size += len(data)
             last = key
+    alone()
     if block:
         yield done()
 
@@ -451,21 +462,21 @@ def repeated_spans(texts: DataFrame, work: Workspace) -> DataFrame:
     wanted = ask.groupBy("tid").agg(F.collect_list(F.struct("start", "len", "ahead", "anchor", "twice")).alias("wanted"))
     packed = map_arrow(texts.select("tid", "text"), _pack, "tid binary, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"))
     compared = work.write(map_arrow(packed.join(wanted.hint("merge"), "tid").select("tid", "packed", "wanted"), _fetch, _BYTES), "bytes")
-    size, place = 128, F.struct("tid", "start")
-    while size:
+    for size in CELLS:
         hot_keys = work.write(compared.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
-        if hot_keys.isEmpty():
+        n = hot_keys.count()
+        if not n:
             break
-        ready.add(compared.join(hot_keys.hint("merge"), "key", "left_anti").select(*_READY_NAMES))
-        split = compared.join(hot_keys.hint("merge"), "key", "left_semi").select(*[c.split()[0] for c in _BYTES.split(", ")])
+        hot_keys = F.broadcast(hot_keys) if n <= HOT_BROADCAST else hot_keys.hint("merge")
+        ready.add(compared.join(hot_keys, "key", "left_anti").select(*_READY_NAMES))
+        split = compared.join(hot_keys, "key", "left_semi").select(*[c.split()[0] for c in _BYTES.split(", ")])
         cut = work.write(map_arrow(split, _halves(size), _BYTES).withColumn("segment", F.xxhash64("bytes")), "cut")
-        same_bytes = cut.groupBy("key", "segment").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("repeats"), F.min(place).alias("lead"))
-        both = work.write(cut.join(same_bytes.hint("merge"), ["key", "segment"]), "both")
-        spans.add(both.where("repeats").select("tid", "start", F.length("bytes").alias("len")))
-        leads = both.where(F.col("lead") == place).select("key", "tid", "start", "ahead", F.col("repeats").alias("twice"), "bytes")
-        several = leads.groupBy("key").count().where("count > 1").select("key")
-        compared = work.write(leads.join(several.hint("merge"), "key", "left_semi"), "halves")
-        size //= 2
+        # Of equal strings one goes on, and stands for all; the others are spans already.
+        lead = F.min(F.struct("tid", "start", "ahead", "bytes")).alias("lead")
+        compared = work.write(cut.groupBy("key", "segment").agg((F.sum(F.when(F.col("twice"), 2).otherwise(1)) > 1).alias("twice"), lead), "cells")
+        again = compared.where("twice").select("key", "segment").hint("merge")
+        spans.add(cut.select("key", "segment", "tid", "start", F.length("bytes").alias("len")).join(again, ["key", "segment"], "left_semi").select("tid", "start", "len"))
+        compared = compared.select("key", "lead.tid", "lead.start", "lead.ahead", "twice", "lead.bytes")
     ready.add(compared.select(*_READY_NAMES))
     spans.add(map_arrow(ready.rows().repartition("key").sortWithinPartitions("key"), _merge, "tid binary, start long, len int"))
     return spans.rows()
