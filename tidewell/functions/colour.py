@@ -105,3 +105,23 @@ def compensation(red: Column, green: Column, blue: Column, strength: float = 1.0
     other = F.when(strong == weak, 0.0).otherwise((strong - weak) * amount / (255 - weak) / strong)
     gains = F.struct(other.alias("other"), (lead(blue - red) * ((tilt - 1) * strength) / (255 - red) / blue).alias("from_blue"), (lead(green - red) * ((2 - tilt) * strength) / (255 - red) / green).alias("from_green"))
     return F.when((green >= 0.1) & (blue >= 0.1) & (red <= 254), gains)
+
+
+def strength_mix(source: Column, restored: Column, luminance: Column, strength: Column) -> Column:
+    """A restored colour that keeps part of the source's lightness, then part of the source: structs (r, g, b) of 0 to 1."""
+
+    def mixed(p: Column) -> Column:
+        lightness = p["s"]["l"] + (p["t"]["l"] - p["s"]["l"]) * luminance
+        return bind(lambda q: F.struct(*[(source[c] + (q["rgb"][c] - source[c]) * strength).alias(c) for c in "rgb"]), rgb=lab_to_rgb(p["t"].withField("l", lightness)))
+
+    return bind(mixed, s=rgb_to_lab(source["r"], source["g"], source["b"]), t=rgb_to_lab(restored["r"], restored["g"], restored["b"]))
+
+
+#: Mean and deviation of the channels that image networks are trained with.
+CHANNEL_MEAN, CHANNEL_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def network_input(r: Column, g: Column, b: Column, normal: bool = True) -> Column:
+    """Bytes as (r, g, b) of a network's input: less the mean by the deviation, or 0 to 1."""
+    scaled = lambda c, m, d: c / (255 * d) - m / d if normal else c / 255
+    return F.struct(*[scaled(c, m, d).alias(n) for c, m, d, n in zip((r, g, b), CHANNEL_MEAN, CHANNEL_DEVIATION, "rgb", strict=True)])

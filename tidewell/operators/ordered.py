@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 
 def running_start(df: DataFrame, by: list[str], order: list[str], length: str, name: str = "start") -> DataFrame:
@@ -86,3 +87,50 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, a_before, b_before = int(place[-1]), a[-1], b[-1]
         columns = {n: batch.column(n) for n in batch.schema.names} | {"__a": pa.array(a), "__b": pa.array(b), "__at": pa.array(place)}
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+#: Frames between updates, updates between features, and what an update keeps of the grid after one interval.
+INTERVAL, FEATURES, KEPT = 10, 6, 0.8
+
+
+def preview_session(df: DataFrame, by: list[str], order: list[str], frames: str, grid: str) -> DataFrame:
+    """Rows (by, order) with `update`, `feature`, `kept` and the smoothed `grid` of each shown frame.
+
+    frames: how many source frames went by since the last shown one; grid: the frame's own
+    array. An update is due where INTERVAL source frames have passed since the last one,
+    a feature with each update FEATURES intervals after the last. An update keeps
+    KEPT to the power of the intervals since then of the grid before; other frames show the
+    grid as it stands. The first frame of a key is both, and keeps nothing.
+
+    When the next update is due depends on the last, so a key is one stream through one task,
+    a batch and one grid at a time. Null frames count as none; a null grid changes nothing.
+    """
+    kept = [*by, *order]
+    schema = StructType([*[df.schema[c] for c in kept], StructField("update", BooleanType()), StructField("feature", BooleanType()), StructField("kept", DoubleType()), StructField("grid", ArrayType(DoubleType()))])
+    rows = df.select(*kept, F.coalesce(F.col(frames).cast("double"), F.lit(0.0)).alias("__frames"), F.col(grid).cast("array<double>").alias("__grid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, updated, featured, shown = object(), 0.0, None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+            for own, passed, cells in zip(keys, batch.column("__frames").to_pylist(), batch.column("__grid"), strict=True):
+                if own != key:
+                    key, now, updated, featured, shown = own, 0.0, None, None, None
+                now += passed
+                update = updated is None or now - updated >= INTERVAL - 1e-6
+                feature = update and (featured is None or now - featured >= FEATURES * INTERVAL - 1e-6)
+                share = 0.0 if updated is None else KEPT ** ((now - updated) / INTERVAL)
+                if update:
+                    updated = now
+                    if cells.is_valid:
+                        new = cells.values.to_numpy(zero_copy_only=False)
+                        shown = new if shown is None else share * shown + (1 - share) * new
+                if feature:
+                    featured = now
+                out.append((update, feature, share, shown))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.float64())), strict=True)]], schema.names)
+
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*kept).mapInArrow(run, schema)

@@ -462,5 +462,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """The other modules of queries register themselves here when imported."""
-    for name in ("scalars", "recordings", "rasters"):
+    for name in ("scalars", "recordings", "rasters", "geometry"):
         import_module(f"tidewell.plans.{name}")
