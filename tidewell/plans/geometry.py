@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions import colour, conversion, motion, rules
+from tidewell.functions import colour, conversion, motion
 from tidewell.functions import quaternion as quat
 from tidewell.operators import frame_motion as frames
-from tidewell.operators import alignment, raster, setups
+from tidewell.operators import raster, restoration, setups
 from tidewell.plans.catalog import _DAY, _LOG, log, query, table
 from tidewell.plans.rasters import _LISTS, lists
 from tidewell.plans.scalars import _ITEM, _KEY, _Q, _RGB, bytes_of, item, poses, rounded
@@ -201,3 +201,12 @@ def body_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RGB} SELECT {_ITEM}, round(r / (255 * CAST(0.229 AS DOUBLE)) - CAST(0.485 AS DOUBLE) / 0.229, 6) AS r, round(g / (255 * CAST(0.224 AS DOUBLE)) - CAST(0.456 AS DOUBLE) / 0.224, 6) AS g, round(b / (255 * CAST(0.225 AS DOUBLE)) - CAST(0.406 AS DOUBLE) / 0.225, 6) AS b FROM rgb")
 def network_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bytes_of(spark, sf_dir).select(*_KEY, colour.network_input(F.col("r"), F.col("g"), F.col("b")).alias("p")), _KEY, "p", "rgb")
+
+
+@query()
+def restore_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as the frames of sixteen recordings, restored in order; no SQL, as a frame's state comes from those before it."""
+    byte = lambda c: F.lpad(F.hex(F.pmod(F.floor(c.cast("double") * 256), F.lit(256))), 2, "0")
+    rgb = F.unhex(F.array_join(F.transform("embedding", lambda e: F.concat(byte(e), byte(e * 3), byte(e * 5))), ""))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 16).alias("recording"), "vec_id", F.col("vec_id").cast("double").alias("t"), rgb.alias("rgb"))
+    return restoration.restored(rows, ["recording"], "vec_id", "t", "rgb", 8, 8).select("recording", "vec_id", F.crc32("rgb").alias("crc"), F.length("rgb").cast("long").alias("n_bytes"))
