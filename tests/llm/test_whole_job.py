@@ -105,6 +105,28 @@ def test_a_hot_anchor_is_found_however_its_copies_are_dealt(spark):
     assert [got[i] for i in range(len(texts))] == list(brute_repeats([t.encode() for t in texts]))
 
 
+def test_copies_of_a_text_are_worked_out_once(spark, monkeypatch):
+    """Spans are found for different texts, not for each copy, which would give copies times copies; results are those of brute force."""
+    from tests.llm.test_edges import brute_repeats, prose
+
+    copied, short = prose(81, 260), prose(82, 20)
+    texts = [copied] * 300 + [short] * 40 + ["", None] + [prose(6000 + i, 20) + copied[40 * i : 40 * i + 320] + prose(7000 + i, 20) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    counts = []
+
+    def counted(*a, plain=suffix_dedup.repeated_spans):
+        found = plain(*a)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", counted)
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.spans(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(brute_repeats([(t or "").encode() for t in texts]))
+    kept = {x["doc_id"]: x["text"] for x in suffix_dedup.remove(docs).collect()}
+    assert len(kept) == len(texts) and not kept[0] and kept[300] == short and kept[341] == ""
+    assert max(counts) < 300
+
+
 def test_segments_of_one_hash_are_compared_in_bytes():
     data = [b"one and other", b"one and three"]
     segment = np.array([7, 7, 7, 7], np.uint64)

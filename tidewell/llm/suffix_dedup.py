@@ -3,6 +3,8 @@
 Every byte covered by a string of LENGTH bytes that also starts elsewhere is
 found exactly, by merging Burrows-Wheeler transforms of shards.
 
+0. Equal texts are one text from here on, marked as standing in two places, and what
+   becomes of it is worked out once; rows get it by its digest at the end.
 1. Strings of LENGTH bytes are dealt by content: the anchor of one is its PIECE
    bytes of least hash, so equal strings have equal anchors at equal places.
    Neighbouring strings with one anchor form a segment of under 2 * LENGTH bytes.
@@ -40,9 +42,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tidewell.llm.common import Workspace, dotted, map_arrow, slices, text_id, utf8
+from tidewell.llm.common import Workspace, dotted, map_arrow, text_id, utf8
 
 LENGTH = 200
 PIECE = 64
@@ -183,8 +184,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, length, ahead, anchor, segment = (np.concatenate([h[i] for h in held]) for i in range(1, 6))
         first, owner = np.concatenate([h[7] for h in held]), np.repeat(np.arange(len(held)), [len(h[7]) for h in held])
         where, many, lead = equal([h[6] for h in held], owner, first, first + length, segment)
+        # A text that stands in two places goes as a whole; its segments only tell of others.
+        again = np.concatenate([h[8] for h in held])
+        many |= np.bincount(where, again)[where] > 0
         one = np.flatnonzero(lead)
-        known = np.flatnonzero(many)
+        known = np.flatnonzero(many & ~again)
         # Known spans of neighbouring segments of one text are put together.
         if len(known):
             rows = np.concatenate([np.full(len(h[0]), i) for i, h in enumerate(held)])
@@ -211,14 +215,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(out, _NAMES)
 
-    for batch in slices(batches, most=STRETCH):
+    for batch in _unpack(batches):
         for data, starts, ends, rows, place in _stretches(batch):
             first, length, ahead, anchor, segment = segments(data, starts, ends, powers)
             if not len(first):
                 continue
             own = np.searchsorted(starts, first, "right") - 1
-            tids = batch.column("tid").take(pa.array(rows[own]))
-            held.append((tids, first - starts[own] + place[own], length, ahead, anchor, segment, data.tobytes(), first))
+            tids, again = (batch.column(c).take(pa.array(rows[own])) for c in ("tid", "again"))
+            held.append((tids, first - starts[own] + place[own], length, ahead, anchor, segment, data.tobytes(), first, np.array(again)))
             size += len(first)
         if size >= COUNTED:
             yield flush()
@@ -260,6 +264,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(packed, pa.binary())], [c for c in batch.schema.names if c != "text"] + ["packed"])
 
 
+def _unpack(batches: Iterator[pa.RecordBatch], most: int = STRETCH) -> Iterator[pa.RecordBatch]:
+    """(tid, again, text) with the bytes of packed texts, about `most` of them at once; a longer text is alone."""
+    expand = zstandard.ZstdDecompressor()
+    names = ["tid", "again", "text"]
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for tid, again, packed in zip(*(batch.column(c).to_pylist() for c in ("tid", "again", "packed")), strict=True):
+            n = zstandard.frame_content_size(packed)
+            if held and size + n > most:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.binary(), pa.bool_(), pa.binary()), strict=True)], names)
+                held, size = [], 0
+            held.append((tid, again, expand.decompress(packed)))
+            size += n
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.binary(), pa.bool_(), pa.binary()), strict=True)], names)
+
+
 def _halves(size: int):
     """Segments cut so that the anchor's place in their strings falls in one cell of `size` places."""
 
@@ -439,12 +461,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(texts: DataFrame, work: Workspace) -> DataFrame:
-    """(tid, start, len) of spans that repeat; they may overlap. texts: (tid, text), one row for each document.
+    """(tid, start, len) of spans that repeat; they may overlap.
+
+    texts: (tid, packed, again), one row for each different text; again: it stands in two places or more.
+    Of such a text no span need be found here: it repeats from end to end.
 
     What is known is added to two tables as it comes, spans and segments to be
     merged, so that no plan grows with the number of splits.
     """
-    found = work.write(map_arrow(texts.select("tid", "text"), _find, _SEGMENTS), "segments")
+    found = work.write(map_arrow(texts, _find, _SEGMENTS), "segments")
     spans, ready = work.table("spans", "tid binary, start long, len int"), work.table("ready", _READY)
     spans.add(found.where(F.col("anchor").isNull()).select("tid", "start", "len"))
     rows = found.where(F.col("anchor").isNotNull())
@@ -460,7 +485,7 @@ def repeated_spans(texts: DataFrame, work: Workspace) -> DataFrame:
     ask = even.where("compare").select("tid", "start", "len", "ahead", "anchor", F.col("repeats").alias("twice"))
     ask = ask.unionAll(rows.join(hot, "anchor", "left_semi").select("tid", "start", "len", "ahead", "anchor", "twice"))
     wanted = ask.groupBy("tid").agg(F.collect_list(F.struct("start", "len", "ahead", "anchor", "twice")).alias("wanted"))
-    packed = map_arrow(texts.select("tid", "text"), _pack, "tid binary, packed binary").groupBy("tid").agg(F.first("packed").alias("packed"))
+    packed = texts.select("tid", "packed")
     compared = work.write(map_arrow(packed.join(wanted.hint("merge"), "tid").select("tid", "packed", "wanted"), _fetch, _BYTES), "bytes")
     for size in CELLS:
         hot_keys = work.write(compared.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot-keys")
@@ -512,42 +537,42 @@ def cut_text(data: bytes, runs: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
+    """(bytes, bytes that stay, runs that go) of each text."""
     expand = zstandard.ZstdDecompressor()
+    for packed, again, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "again", "spans")), strict=True):
+        data = expand.decompress(packed)
+        whole = again and len(data) >= LENGTH
+        yield data, *cut_out(data, [{"start": 0, "len": len(data)}] if whole else spans)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = expand.decompress(packed)
-            kept, runs = cut_out(data, spans)
-            rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        rows = [(len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()) for data, kept, runs in _cut(batch)]
         n, removed, runs, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["tid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
-        for packed, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = expand.decompress(packed)
-            out.append(cut_text(data, cut_out(data, spans)[1]) if spans else data.decode())
-        names = [c for c in batch.schema.names if c not in ("packed", "spans", "tid")]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.string())], [*names, "__text"])
+        out = [cut_text(data, runs) for data, _, runs in _cut(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(out, pa.string())], ["tid", "__text"])
 
 
-def _with_spans(rows: DataFrame, run, schema) -> DataFrame:
-    """What `run` gives for rows (with tid and text) with the text packed and its spans."""
+def _with_spans(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Rows (with tid and text), each with what `run` gives for its text."""
     work = Workspace(rows.sparkSession, "repeats")
-    spans = repeated_spans(rows, work)
-    by_text = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
-    kinds = StructType([*[f for f in rows.schema if f.name != "text"], StructField("packed", BinaryType())])
-    return work.result(map_arrow(map_arrow(rows, _pack, kinds).join(by_text.hint("merge"), "tid", "left").drop("tid"), run, schema))
+    packed = map_arrow(rows.select("tid", "text"), _pack, "tid binary, packed binary")
+    texts = work.write(packed.groupBy("tid").agg(F.first("packed").alias("packed"), (F.count("tid") > 1).alias("again")), "texts")
+    spans = repeated_spans(texts, work).groupBy("tid").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+    done = map_arrow(texts.join(spans.hint("merge"), "tid", "left"), run, schema)
+    return work.result(rows.drop("text").join(done.hint("merge"), "tid").drop("tid"))
 
 
 def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     rows = docs.select(dotted(id_column).alias("doc_id"), text_id(text_column).alias("tid"), dotted(text_column).cast("string").alias("text"))
-    return _with_spans(rows, _digest, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(rows, _digest, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -555,5 +580,5 @@ def remove(docs: DataFrame, text_column: str = "text") -> DataFrame:
     others = [dotted(c).alias(c) for c in docs.columns if c != text_column]
     whole = F.struct(*others) if others else F.lit(None).cast("boolean")
     rows = docs.select(whole.alias("others"), text_id(text_column).alias("tid"), dotted(text_column).cast("string").alias("text"))
-    cut = _with_spans(rows, _texts, StructType([rows.schema["others"], StructField("__text", StringType())]))
+    cut = _with_spans(rows, _texts, "tid binary, __text string")
     return cut.select(*[F.col("__text").alias(c) if c == text_column else F.col("others").getField(c).alias(c) for c in docs.columns])
